@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history_dedup, mixing, near_dup, repeated_lines, tokens
+from . import history_dedup, mixing, near_dup, repeated_lines, text_quality, tokens
 from .common import table
 
 
@@ -24,6 +24,21 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_excessive(table(spark, sf_dir, "indexed_documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "document_responses").select("id", F.col("content").alias("text"))
+    return text_quality.not_prose(docs, table(spark, sf_dir, "common_words"))
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "document_responses").select("id", F.col("content").alias("text"))
+    return text_quality.document_kinds(docs, table(spark, sf_dir, "common_words"))
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "document_responses").select("id", F.col("content").alias("text"))
+    return text_quality.statistics(docs, table(spark, sf_dir, "common_words"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "document_responses").select("id", F.concat_ws(" ", "title", "content").alias("text"))
 
@@ -53,4 +68,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p4_found, p4_groups, p6_ids, p6_texts, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p6_ids, p6_texts, p7_selection, p7_shares)}
