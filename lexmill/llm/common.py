@@ -49,6 +49,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written for the time of one operator; ``discard`` deletes them once its result no longer reads them."""
+
+    def __init__(self):
+        self.paths = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, tag)
+        df.write.parquet(path)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        for spark, path in self.paths:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged. Counts ``df``: give a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -97,20 +117,19 @@ def triple_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return h[inside], doc[:-2][inside]
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
     """Of ``pairs`` (a, b: different ids) those whose texts are similar, with the exact similarity.
 
     ``texts`` has ``id`` and ``text``. Similarity is the Jaccard coefficient of the sets of three successive
     words. Only texts that occur in a pair are read into sets, as 32-bit hashes.
     """
-    spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = (
-        texts.join(small(written(ids, "ids")), "id", "left_semi")
+        texts.join(small(hold(ids, "ids")), "id", "left_semi")
         .mapInArrow(_triple_sets, "id long, triples array<int>")
-        .groupBy("id").agg(F.first("triples").alias("triples"))
+        .dropDuplicates(["id"])
     )
-    sets = written(sets, "sets")
+    sets = hold(sets, "sets")
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
