@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history_dedup, mixing, near_dup, repeated_lines, text_quality, tokens
+from . import history_dedup, mixing, near_dup, repeated_lines, stuffing, text_quality, tokens
 from .common import table
 
 
@@ -67,5 +67,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(_texts(spark, sf_dir), table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.page_scores(_texts(spark, sf_dir), table(spark, sf_dir, "common_words")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p6_ids, p6_texts, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p6_ids, p6_texts, p7_selection, p7_shares, p8_found, p8_scores)}
