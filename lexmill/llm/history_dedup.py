@@ -10,15 +10,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_OR_STOP, WordIds, mix, scratch_path, small, triple_hashes, verified_pairs, written
+from .common import WORD_OR_STOP, Scratch, WordIds, mix, scratch_path, small, triple_hashes, verified_pairs, written
 
 #: Parameters that only track; also all that begin with utm_ (fixed values).
 TRACKING = {"source", "ref", "sk", "from"}
 LEAST_WORDS = 20
 #: Words a paragraph must have to be a key; texts that share it are compared directly, up to HOT of them.
 PARAGRAPH_WORDS, HOT = 4, 32
-#: Signature bands of a text, and symbols in each; they take the place of paragraphs that more than HOT texts share.
-BANDS, BAND_WIDTH = 16, 2
+#: Symbols of a signature; the first 32 form 16 bands, which take the place of paragraphs that more than HOT texts share.
+SYMBOLS, BANDS, BAND_WIDTH = 48, 16, 2
+#: Four bits of each symbol are kept. Texts of similarity 0.5 differ in 48 of the 192 bits on average, with a deviation of 8.5;
+#: a candidate pair that differs in more than MOST_BITS isn't compared: 1 in 4,000 at 0.5, 1 in 10^5 at 0.55.
+MOST_BITS = 78
 _KEEP = re.compile(r"%([0-9A-Fa-f]{2})")
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
@@ -55,17 +58,18 @@ def _pages(batches):
     import xxhash
 
     for batch in batches:
-        keys = [None if (p := page_address(u)) is None else xxhash.xxh3_128_hexdigest(p.encode("utf-8", "surrogatepass")) for u in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.string())], ["item_id", "ord", "document_id", "page"])
+        keys = [None if (p := page_address(u)) is None else xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for u in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.int64())], ["item_id", "ord", "document_id", "page"])
 
 
 def _features(batches):
-    """(id, class, keys, bands) of texts with enough words. keys: hashes of paragraphs, bands: hashes of signature parts."""
+    """(id, class, keys, bands, bits) of texts with enough words. keys: hashes of paragraphs, bands: hashes of pairs of symbols."""
     import pyarrow as pa
     import xxhash
 
     ids = WordIds()
-    factor = mix(np.arange(1, BANDS * BAND_WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+    factor = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
+    shift = np.arange(0, 64, 4, dtype=np.uint64)
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
@@ -97,18 +101,21 @@ def _features(batches):
             keys, key_doc = keys[keep], real_doc[first][keep]
             t, t_doc = triple_hashes(real, np.searchsorted(real_doc, np.arange(n + 1)))
             t_first = np.searchsorted(t_doc, np.arange(n))
-            least = np.empty((n, BANDS * BAND_WIDTH), np.uint64)
+            least = np.empty((n, SYMBOLS), np.uint64)
             for k, f in enumerate(factor):
                 x = t * f
                 least[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), t_first)
-            bands = mix(mix(least[:, 0::2]) + least[:, 1::2] + np.arange(BANDS, dtype=np.uint64))
+            own = mix(least)
+            bands = mix(own[:, 0 : 2 * BANDS : 2] + least[:, 1 : 2 * BANDS : 2] + np.arange(BANDS, dtype=np.uint64))
+            bits = np.bitwise_or.reduce(((own & np.uint64(15)).reshape(n, 3, 16)) << shift, axis=2)
             offsets = np.searchsorted(key_doc, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 3), pa.array(bits.ravel().view(np.int64))),
                 ],
-                ["id", "class", "keys", "bands"],
+                ["id", "class", "keys", "bands", "bits"],
             )
 
 
@@ -118,38 +125,32 @@ def _first(c: str) -> Column:
 
 
 class AcceptedHistory:
-    """What is kept of all accepted items: page addresses, text classes, paragraph hashes; never the texts.
+    """What is kept of all accepted items: page addresses, text classes, paragraph hashes, signatures; never the texts.
 
-    The three tables are bucketed by the hash they are joined on, so a new run is shuffled to the buckets, and the
-    history is neither shuffled nor sorted anew. They lie below the shared folder (or ``path``) and grow by appending.
+    The tables are bucketed by what they are joined on, so a new run is shuffled to the buckets, and the history is
+    neither shuffled nor hashed anew. They lie below the shared folder (or ``path``) and grow by appending.
     """
 
+    COLUMNS = {
+        "pages": "page long, ord long, item_id long", "classes": "class string, head long, ord long, item_id long",
+        "paragraphs": "key long, head long", "sketches": "head long, bands array<long>, bits array<long>",
+    }
+
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
         self.spark, self.buckets = spark, buckets
         self.path = path or scratch_path(spark, "history")
         self.name = f"lexmill_{uuid.uuid4().hex[:12]}"
         self.started = False
 
-    def _append(self, table: str, rows: DataFrame, key: str) -> None:
+    def _append(self, table: str, rows: DataFrame) -> None:
+        key = self.COLUMNS[table].split()[0]
         (
             rows.repartition(self.buckets, key).write.mode("append").format("parquet").option("path", f"{self.path}/{table}")
             .bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{table}")
         )
 
-    def _table(self, table: str, empty: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{table}") if self.started else self.spark.createDataFrame([], empty)
-
-    @property
-    def pages(self) -> DataFrame:
-        return self._table("pages", "page string, ord long, item_id long")
-
-    @property
-    def classes(self) -> DataFrame:
-        return self._table("classes", "class string, head long, ord long, item_id long")
-
-    @property
-    def keys(self) -> DataFrame:
-        return self._table("keys", "key long, head long, band boolean")
+    def _table(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}") if self.started else self.spark.createDataFrame([], self.COLUMNS[table])
 
     def admit(self, items: DataFrame, texts: DataFrame, threshold: float = 0.5) -> DataFrame:
         """The cases (accepted_id, item_id) among new ``items``; the others are accepted and appended.
@@ -158,77 +159,95 @@ class AcceptedHistory:
         name are read into hashes, and only those in a candidate pair are compared. An item is a case if an earlier accepted
         one has its page or a similar text; accepted_id is the earliest such. Whether an item is accepted
         may hang on others of the same call, so it is settled in rounds: an item with no undecided or accepted earlier
-        partner is accepted, one with an accepted partner is a case. A page, class or paragraph with very many items is reduced to
-        its earliest item before it is joined. Repeated rows count once; null addresses and texts match nothing.
+        partner is accepted, one with an accepted partner is a case. Items without any partner take no part in the rounds.
+        A page, class or paragraph with very many items is reduced to its earliest item before it is joined. Repeated
+        rows count once; null addresses and texts match nothing.
         """
-        items = items.select("item_id", "ord", "document_id", "url").mapInArrow(_pages, "item_id long, ord long, document_id long, page string")
-        items = written(items.where("item_id is not null").groupBy("item_id").agg(F.min(F.struct("ord", "document_id", "page")).alias("x")).select("item_id", "x.*"), "items")
-        wanted = small(written(items.where("document_id is not null").select(F.col("document_id").alias("id")).distinct(), "wanted"))
+        hold = Scratch()
+        items = items.select("item_id", "ord", "document_id", "url").where("item_id is not null").dropDuplicates(["item_id"])
+        items = hold(items.mapInArrow(_pages, "item_id long, ord long, document_id long, page long"), "items")
+        wanted = small(hold(items.where("document_id is not null").select(F.col("document_id").alias("id")).distinct(), "wanted"))
         texts = texts.select("id", "text")
-        feats = written(texts.join(wanted, "id", "left_semi").mapInArrow(_features, "id long, class string, keys array<long>, bands array<long>"), "features")
+        feats = hold(texts.join(wanted, "id", "left_semi").mapInArrow(_features, "id long, class string, keys array<long>, bands array<long>, bits array<long>"), "features")
 
         one = feats.groupBy("id").agg(F.min("class").alias("class"))
-        new = one.groupBy("class").agg(F.min("id").alias("new_head"))
-        known = self.classes.groupBy("class").agg(F.min("head").alias("head"))
-        heads = new.join(known, "class", "left").select("class", F.coalesce("head", "new_head").alias("head"), F.col("head").isNull().alias("new"))
-        heads = written(one.join(heads, "class"), "heads")
-        fresh = heads.where("new and id = head").select("id", "class")
-        items = written(items.join(heads.select(F.col("id").alias("document_id"), "head"), "document_id", "left").select("item_id", "ord", "page", "head"), "headed")
-
-        rows = feats.join(fresh, ["id", "class"], "left_semi").dropDuplicates(["id"])
-        rows = rows.select(F.col("id").alias("head"), F.explode(F.concat(
-            F.transform(F.array_distinct("keys"), lambda k: F.struct(k.alias("key"), F.lit(False).alias("band"))),
-            F.transform("bands", lambda k: F.struct(k.alias("key"), F.lit(True).alias("band"))),
-        )).alias("x")).select("x.key", "head", "x.band")
-        rows = written(rows.repartition(self.buckets, "key"), "keys")
-        links = self._links(rows, texts, threshold)
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = small(written(both, "links"))
-
-        old_pages = self.pages.groupBy("page").agg(F.min(F.struct("ord", "item_id")).alias("old_page"))
-        old_heads = self.classes.groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("old_head"))
-        near = both.join(old_heads.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head")).agg(F.min("old_head").alias("old_near"))
-        state = items.join(old_pages, "page", "left").join(old_heads, "head", "left").join(near, "head", "left")
-        state = written(state.select("item_id", "ord", "page", "head", F.least("old_page", "old_head", "old_near").alias("old"), F.lit(False).alias("accepted"), F.lit(False).alias("case")).withColumn("case", F.col("old").isNotNull()), "state")
+        heads = one.groupBy("class").agg(F.min("id").alias("new_head"))
+        if self.started:
+            known = self._table("classes").groupBy("class").agg(F.min("head").alias("head"))
+            heads = heads.join(known, "class", "left").select("class", F.coalesce("head", "new_head").alias("head"), F.col("head").isNull().alias("new"))
+        else:
+            heads = heads.select("class", F.col("new_head").alias("head"), F.lit(True).alias("new"))
+        heads = hold(one.join(heads, "class"), "heads")
+        fresh = small(hold(heads.where("new and id = head").select("id", "class"), "fresh"))
+        rows = feats.join(fresh, ["id", "class"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "head")
+        rows = hold(rows.select("head", "keys", "bands", "bits"), "rows")
+        links = self._links(rows, texts, threshold, hold)
+        both = small(hold(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links"))
+
+        items = items.join(heads.select(F.col("id").alias("document_id"), "head"), "document_id", "left").select("item_id", "ord", "page", "head")
+        old = F.lit(None).cast("struct<ord:long,item_id:long>")
+        if self.started:
+            old_pages = self._table("pages").groupBy("page").agg(F.min(F.struct("ord", "item_id")).alias("old_page"))
+            old_heads = self._table("classes").groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("old_head"))
+            near = both.join(old_heads.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head")).agg(F.min("old_head").alias("old_near"))
+            items = items.join(old_pages, "page", "left").join(old_heads, "head", "left").join(near, "head", "left")
+            old = F.least("old_page", "old_head", "old_near")
+        items = hold(items.select("item_id", "ord", "page", "head", old.alias("old")), "headed")
+        live = items.where("old is null").drop("old")
+        shared_page = live.where("page is not null").groupBy("page").agg(F.count("*").alias("pages")).where("pages > 1")
+        shared_head = live.where("head is not null").groupBy("head").agg(F.count("*").alias("heads")).where("heads > 1").select("head")
+        shared_head = shared_head.union(both.select(F.col("a").alias("head"))).distinct().withColumn("heads", F.lit(1))
+        live = hold(live.join(shared_page, "page", "left").join(shared_head, "head", "left").select("item_id", "ord", "page", "head", (F.col("pages").isNull() & F.col("heads").isNull()).alias("alone")), "live")
+        alone = live.where("alone").select("item_id", "ord", "page", "head")
+        state = live.where("not alone").select("item_id", "ord", "page", "head", F.lit(False).alias("accepted"), F.lit(False).alias("case"))
         while True:
-            seen = self._partners(state, both)
             first = F.least("page_ord", "head_ord", "near_ord", "ord")
             taken = F.coalesce("page_first", "head_first", "near_first").isNotNull()
-            state = written(
-                seen.select(
-                    "item_id", "ord", "page", "head", "old", (F.col("accepted") | (~F.col("case") & ~taken & (F.col("ord") <= first))).alias("accepted"),
+            state = hold(
+                self._partners(state, both).select(
+                    "item_id", "ord", "page", "head", (F.col("accepted") | (~F.col("case") & ~taken & (F.col("ord") <= first))).alias("accepted"),
                     (F.col("case") | (~F.col("accepted") & taken)).alias("case"),
                 ), "state")
             if not state.where("not accepted and not case").limit(1).count():
                 break
-        cases = self._partners(state, both).where("case").select(F.least("old", "page_first", "head_first", "near_first").getField("item_id").alias("accepted_id"), "item_id")
-        cases = written(cases, "cases")
-        good = state.where("accepted")
-        self._append("pages", good.where("page is not null").select("page", "ord", "item_id"), "page")
-        firsts = good.where("head is not null").groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("x"))
+        cases = self._partners(state, both).where("case").select(F.least("page_first", "head_first", "near_first").getField("item_id").alias("accepted_id"), "item_id")
+        cases = written(cases.union(items.where("old is not null").select("old.item_id", "item_id")), "cases")
+        good = state.where("accepted").select("item_id", "ord", "page", "head").union(alone)
+        self._append("pages", good.where("page is not null").select("page", "ord", "item_id"))
+        firsts = hold(good.where("head is not null").groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("x")), "firsts")
         names = heads.groupBy("head").agg(F.min("class").alias("class"))
-        self._append("keys", rows.join(small(written(firsts.select("head"), "firsts")), "head", "left_semi").select("key", "head", "band"), "key")
-        self._append("classes", firsts.join(names, "head").select("class", "head", "x.ord", "x.item_id"), "class")
+        kept = rows.join(small(firsts.select("head")), "head", "left_semi")
+        self._append("paragraphs", kept.select(F.explode(F.array_distinct("keys")).alias("key"), "head"))
+        self._append("sketches", kept.select("head", "bands", "bits"))
+        self._append("classes", firsts.join(names, "head").select("class", "head", "x.ord", "x.item_id"))
         self.started = True
+        hold.discard()
         return cases
 
-    def _links(self, rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    def _links(self, rows: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
         """Links (a, b) of similar texts, of which at least one is new, by shared paragraphs.
 
         A paragraph in more than HOT texts is no key of its own; all texts that have one meet by the bands of
-        their signatures instead, which split such a group by content.
+        their signatures instead, which split such a group by content. Pairs whose signatures differ too much are
+        left out before texts are compared.
         """
-        old = self.keys.join(rows.select("key").distinct(), "key", "left_semi")
-        pool = rows.withColumn("new", F.lit(True)).union(old.withColumn("new", F.lit(False)))
-        count = pool.groupBy("key", "band").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").select("key", "band", "n")
-        pool = written(pool.join(count, ["key", "band"]).select("key", "band", "head", "new", "n"), "pool")
-        hot = small(written(pool.where((F.col("n") > HOT) & ~F.col("band")).select("head").distinct(), "hot"))
-        usable = pool.where((F.col("n") <= HOT) & ~F.col("band")).unionByName(pool.where("band").join(hot, "head", "left_semi").select(pool.columns))
-        usable = usable.select("key", "band", "head", "new")
-        a = usable.where("new").select("key", "band", F.col("head").alias("p"))
-        b = usable.select("key", "band", F.col("head").alias("q"), "new")
-        pairs = a.join(b, ["key", "band"]).where("p != q and (p < q or not new)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        return verified_pairs(written(pairs, "pairs"), texts, threshold)
+        pool = rows.select(F.explode(F.array_distinct("keys")).alias("key"), "head", F.lit(True).alias("new"))
+        sketches = rows.select("head", "bands", "bits", F.lit(True).alias("new"))
+        if self.started:
+            asked = pool.select("key").distinct()
+            pool = pool.union(self._table("paragraphs").join(asked, "key", "left_semi").select("key", "head", F.lit(False)))
+            sketches = sketches.union(self._table("sketches").select("head", "bands", "bits", F.lit(False)))
+        count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").select("key", (F.col("n") > HOT).alias("hot"))
+        shared = hold(pool.join(count, "key").select("key", "head", "new", "hot"), "shared")
+        hot = small(hold(shared.where("hot").select("head").distinct(), "hot"))
+        banded = sketches.join(hot, "head", "left_semi").select(F.explode("bands").alias("key"), "head", "new")
+        usable = shared.where("not hot").select("key", "head", "new").union(banded)
+        usable = hold(usable.join(sketches.select("head", "bits"), "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(3))), "usable")
+        a = usable.where("new").select("key", F.col("head").alias("p"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(3)))
+        differing = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 3)), F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))))
+        pairs = a.join(usable, "key").where(F.expr("p != head and (p < head or not new)") & (differing <= MOST_BITS))
+        pairs = pairs.select(F.least("p", "head").alias("a"), F.greatest("p", "head").alias("b")).distinct()
+        return verified_pairs(hold(pairs, "pairs"), texts, threshold, hold)
 
     @staticmethod
     def _partners(state: DataFrame, both: DataFrame) -> DataFrame:
