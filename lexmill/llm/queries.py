@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history_dedup, mixing, near_dup, repeated_lines, stuffing, text_quality, tokens
+from . import boilerplate, history_dedup, mixing, near_dup, repeated_lines, stuffing, text_quality, tokens
 from .common import table
 
 
@@ -51,6 +51,19 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.similar_groups(_records(spark, sf_dir))
 
 
+def _pages_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "fetched_wikipedia_articles").select(F.col("page_id").alias("id"), "html")
+    return pages, table(spark, sf_dir, "document_responses").select("id", F.col("content").alias("text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture(*_pages_and_texts(spark, sf_dir))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_bodies(*_pages_and_texts(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -80,4 +93,4 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p6_ids, p6_texts, p7_selection, p7_shares, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p5_found, p5_bodies, p6_ids, p6_texts, p7_selection, p7_shares, p8_found, p8_scores)}
