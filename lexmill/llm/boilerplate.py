@@ -21,8 +21,10 @@ ROLE_TAGS = {"nav", "aside", "footer", "header", "form"}
 BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"body", "div", "section", "article", "main", "nav", "aside", "footer", "header", "form", "ul", "ol", "table", "figure", "blockquote"}
 SILENT = {"script", "style"}
-#: Blocks around a line that smooth its text-to-tag ratio (one standard deviation); buckets of the text model; evidence a block needs.
-SIGMA, BUCKETS, EVIDENCE, CLIP = 1.0, 1 << 16, 2.5, 2.5
+#: Blocks around a line that smooth its text-to-tag ratio (one standard deviation); evidence a block needs; most that one feature gives.
+SIGMA, EVIDENCE, CLIP = 1.0, 2.5, 2.5
+#: Pages on which the model of furniture's words is fitted at most; the choice is by hash of the page's id.
+FIT_PAGES = 2_000
 #: Characters of a block up to which furniture's wording decides alone.
 LONGEST = 220
 _MENU = re.compile(r"\s*[|/·•»>]\s*|\s{2,}|^\s+|\s+$")
@@ -40,7 +42,10 @@ WORDING = re.compile(
     |^from\ .{1,60},\ the\ (?:open|free)\ \w+$|listen\ to\ this|was\ this\ (?:page|article)\ helpful|^enjoying\ .*\?|^run\ by\b""", re.I | re.X,
 )
 
-_WORD = re.compile(r"[^\W\d_]+|\d[\d.,:/]*|[^\w\s]")
+_NUMBER = re.compile(r"\d[\d.,:/]*")
+_NAME = re.compile(r"(?<=[^.?!:/|·•»>←→—\s-]) [A-Z][^\W\d_]*[a-z][^\W\d_]*")
+_TERM = re.compile(r"[^\W_]+|[^\w\s,.;\"'()]")
+_SEPARATORS = {"|": "sep|", "/": "sep/", "·": "sep·", "•": "sep·", "»": "sep»", ">": "sep>"}
 
 
 class Page(HTMLParser):
@@ -128,14 +133,18 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def two_clusters(values: np.ndarray) -> float:
     """The threshold between the two clusters of the values (means of two, from the extremes)."""
-    low, high = float(values.min()), float(values.max())
+    ordered = np.sort(values)
+    sums = np.cumsum(ordered)
+    n, cut = len(ordered), (ordered[0] + ordered[-1]) / 2
     for _ in range(30):
-        cut = (low + high) / 2
-        near, far = values[values <= cut], values[values > cut]
-        if not len(far):
+        k = int(np.searchsorted(ordered, cut, "right"))
+        if k in (0, n):
             break
-        low, high = float(near.mean()), float(far.mean())
-    return (low + high) / 2
+        new = (sums[k - 1] / k + (sums[-1] - sums[k - 1]) / (n - k)) / 2
+        if new == cut:
+            break
+        cut = new
+    return float(cut)
 
 
 def content_container(page: Page) -> int:
@@ -173,8 +182,8 @@ def content_container(page: Page) -> int:
     return max(fit, default=0)
 
 
-def page_labels(page: Page) -> list[str]:
-    """What the structure says of each block: out (outside the main body), end (end matter), in, or empty."""
+def page_labels(page: Page) -> tuple[list[str], int]:
+    """What the structure says of each block: out (outside the main body), end (end matter), in, or empty; and the container of the main body."""
     inside = content_container(page)
     labels, end_level, end_chain = [], 0, ()
     started = not any(b["tag"] == "h1" and b["size"] for b in page.blocks)
@@ -211,108 +220,109 @@ def page_labels(page: Page) -> list[str]:
         if sum(page.blocks[k]["link"] for k in ks) > 0.75 * size:
             for k in ks:
                 labels[k] = "out"
-    return labels
+    return labels, inside
+
+
+def words_of(text: str) -> list[str]:
+    """The words and marks of a text in lower case; numbers are 0, capitalised words inside a sentence xx."""
+    return _TERM.findall(_NAME.sub(" Xx", _NUMBER.sub("0", text)).lower())
 
 
-def cues(text: str) -> list[str]:
-    """The features of a text in the model: words, pairs of words, its opening and its separators. Names and numbers are masked."""
-    tokens = _WORD.findall(text)
-    if not tokens:
+def cues(text: str) -> list:
+    """The features of a text in the model: words, pairs of words, its opening, its whole if short, and its separators."""
+    words = words_of(text)
+    if not words:
         return []
-    words = []
-    for k, t in enumerate(tokens):
-        if t[0].isdigit():
-            words.append("0")
-        elif t[0].isupper() and k and not t.isupper() and tokens[k - 1] not in ".?!:/|·•»>←→—-":
-            words.append("Xx")
-        else:
-            words.append(t.lower())
-    out = [w for w in words if w not in ",.;\"'()"]
-    out += [a + " " + b for a, b in zip(words, words[1:], strict=False)]
-    out.append("^" + " ".join(words[:2]))
+    out = [*words, *zip(words, words[1:], strict=False), ("^", *words[:2]), (words[-1], "$")]
     if len(words) <= 5:
         out.append("=" + text.strip().lower())
-    out.append(words[-1] + "$")
-    n = len([w for w in words if w.isalpha()])
-    for mark in "|/·•»>":
-        c = tokens.count(mark)
-        if c >= 2 and n <= 5 * (c + 1):
-            out.append(f"sep{mark if mark != '•' else '·'}")
-    return list(dict.fromkeys(out))
-
-
-def _bucket(feature: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+    if len(text) <= LONGEST:
+        for mark, name in _SEPARATORS.items():
+            c = words.count(mark)
+            if c >= 2 and len(words) <= 6 * (c + 1):
+                out.append(name)
+    return out
 
 
-def fit_cues(pages: DataFrame) -> np.ndarray:
-    """Log odds of furniture for each bucket of features, from all pages (html): blocks that the structure puts outside the main
-    body against those inside. Titles that link to other pages say nothing of furniture's wording and aren't counted.
+def fit_cues(pages: DataFrame) -> dict:
+    """Log odds of furniture for each feature, from pages (id, html): blocks that the structure puts outside the main body against
+    those inside. Titles that link to other pages say nothing of furniture's wording and aren't counted.
 
-    Each task sums its counts in an array of fixed size; twice 65,536 numbers reach the driver.
+    At most about FIT_PAGES pages are used, the same share of any id; the features seen three times or more in them are
+    what the driver gets, so the model's size is bounded.
     """
+    pages = pages.where("id is not null and html is not null")
+    share = min(1.0, FIT_PAGES / max(1, pages.count()))
+    sample = pages.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("html")
 
     def run(batches):
+        import json
+        from collections import Counter
+
         import pyarrow as pa
 
-        counts = np.zeros((2, BUCKETS), np.int64)
-        totals = np.zeros(2, np.int64)
+        counts: Counter = Counter()
         for batch in batches:
             for html in batch.column(0).to_pylist():
-                if not html:
-                    continue
                 page = parsed(html)
-                for b, label in zip(page.blocks, page_labels(page), strict=True):
-                    words = b["text"].count(" ") + 1
+                for b, label in zip(page.blocks, page_labels(page)[0], strict=True):
                     if label in {"in", "out"} and len(b["text"]) <= LONGEST and WORDING.search(b["text"]):
                         side = 1
                     elif label == "in":
                         side = 0
-                    elif label == "out" and (b["link"] < 0.5 * b["size"] or words <= 2):
+                    elif label == "out" and (b["link"] < 0.5 * b["size"] or b["text"].count(" ") <= 1):
                         side = 1
                     else:
                         continue
-                    totals[side] += 1
-                    counts[side, list({_bucket(f) for f in cues(b["text"])})] += 1
-        side, at = np.nonzero(counts)
-        side, at, n = np.append(side, [0, 1]), np.append(at, [-1, -1]), np.append(counts[side, at], totals)
-        yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(at), pa.array(n)], ["side", "at", "n"])
-
-    counts = np.zeros((2, BUCKETS))
-    totals = np.zeros(2)
-    for side, at, n in pages.select("html").mapInArrow(run, "side long, at long, n long").groupBy("side", "at").agg(F.sum("n")).collect():
-        if at < 0:
-            totals[side] = n
-        else:
-            counts[side, at] = n
-    rate = (counts + 0.3) / (totals[:, None] + 1.0)
-    odds = np.log(rate[1] / rate[0])
-    rare = counts.sum(0) < 3
-    odds[rare] = 0.0
-    return np.clip(odds, -CLIP, CLIP)
-
-
-def evidence(text: str, odds: np.ndarray) -> float:
-    """Furniture's log odds of a text: of its five strongest features each way, so that length alone decides nothing; known wording is enough."""
-    if text and len(text) <= LONGEST and WORDING.search(text):
-        return 4 * CLIP
-    items = [x for x in _MENU.split(text) if x]
-    if len(items) >= 3 and sum(odds[_bucket("=" + x.lower())] > 1.5 for x in items) >= 0.6 * len(items):
-        return 4 * CLIP
-    x = np.sort(odds[[_bucket(f) for f in cues(text)]]) if text else np.empty(0)
-    return float(x[x > 0][-5:].sum() + x[x < 0][:5].sum())
-
-
-def page_main(page: Page, odds: np.ndarray) -> list[bool]:
+                    counts[side, None] += 1
+                    counts.update((side, f) for f in set(cues(b["text"])))
+        keys = [k for k in counts]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([json.dumps(k[1]) for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["side", "feature", "n"])
+
+    import json
+
+    rows = sample.mapInArrow(run, "side long, feature string, n long").groupBy("feature").agg(F.sum(F.expr("if(side = 0, n, 0)")).alias("inside"), F.sum(F.expr("if(side = 1, n, 0)")).alias("outside"))
+    found = rows.where(F.col("inside") + F.col("outside") >= 3).collect()
+    total = next(((r[1], r[2]) for r in found if r[0] == "null"), (0, 0))
+    odds = {}
+    for feature, n_in, n_out in found:
+        value = np.log((n_out + 0.3) / (total[1] + 1.0)) - np.log((n_in + 0.3) / (total[0] + 1.0))
+        if feature != "null" and abs(value) > 0.2:
+            key = json.loads(feature)
+            odds[tuple(key) if isinstance(key, list) else key] = float(max(-CLIP, min(CLIP, value)))
+    return odds
+
+
+def evidence(text: str, odds: dict) -> float:
+    """Furniture's log odds of a text: of its five strongest features each way, so that length alone decides nothing; unless they
+    speak clearly against it, known wording or a row of known menu entries is enough."""
+    if not text:
+        return 0.0
+    found = dict.fromkeys(cues(text))
+    x = sorted(filter(None, map(odds.get, found)))
+    total = sum(v for v in x[-5:] if v > 0) + sum(v for v in x[:5] if v < 0)
+    if total <= -3 * EVIDENCE and x[-1] < 1.0:
+        return total
+    if len(text) <= LONGEST:
+        if WORDING.search(text):
+            return 4 * CLIP
+        items = [x for x in _MENU.split(text) if x]
+        if len(items) >= 3 and sum(odds.get("=" + x.lower(), 0) > 1.5 for x in items) >= 0.6 * len(items):
+            return 4 * CLIP
+    if total > EVIDENCE:
+        words = [w for w in found if isinstance(w, str) and w.isalpha()]
+        if 3 * sum(odds.get(w, 0) > 0.5 for w in words) < max(1, len(words)):
+            return EVIDENCE  # chance hits among words the model doesn't know
+    return total
+
+
+def page_main(page: Page, odds: dict) -> list[bool]:
     """Whether each block of a page is of its main body: inside by structure, without furniture's wording, and in no box of furniture.
 
     A box (div, section) inside the main body is furniture if its heading is; if a good third of its blocks are, all but its paragraphs
     of prose are. So boxes go that run on inside because their page doesn't close its article.
     """
-    labels = page_labels(page)
-    inside = content_container(page)
+    labels, inside = page_labels(page)
     flagged = [label == "in" and evidence(b["text"], odds) > EVIDENCE for b, label in zip(page.blocks, labels, strict=True)]
     main = [label == "in" and not bad for label, bad in zip(labels, flagged, strict=True)]
     boxes: dict[int, list[int]] = {}
@@ -333,20 +343,24 @@ def page_main(page: Page, odds: np.ndarray) -> list[bool]:
     return main
 
 
+_WORDS, _DIGITS, _CELLS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s*[|\t;]\s*")
 _ROW = re.compile(r"^\s*(?:[-*+•]\s|\d{1,4}[.)]\s)|\t|[{}=;]|^\s*\||\|\s*-{3}|^\s*[\"\[]|^[0-9a-f]{8}\s|^\d{4}-\d\d-\d\d\s|^\s*[-\d.,\s]+$|[,;][^\s,;]+[,;]")
 
 
-def line_labels(text: str, odds: np.ndarray) -> list[bool]:
-    """Whether each line of a text is furniture. Rows of lists, tables, code and data next to like rows are main body."""
+def line_labels(text: str, odds: dict) -> list[bool]:
+    """Whether each line of a text is furniture. Rows of lists, tables, code and data next to like rows are main body; in the
+    second half of a text, a line that is a title of end matter and all behind it are not."""
     lines = text.split("\n")
-    shape = [re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", x.strip()))[:1] if _ROW.search(x) else "" for x in lines]
-    out = []
+    shape = [_WORDS.sub("a", _DIGITS.sub("0", x.lstrip()[:40]))[:1] if _ROW.search(x) else "" for x in lines]
+    out: list[bool] = []
+    ended = False
     for k, line in enumerate(lines):
         stripped = line.strip()
-        if not stripped:
-            out.append(False)
+        ended = ended or 2 * k >= len(lines) and stripped.strip(" #:=*").casefold() in END_MATTER
+        if not stripped or ended:
+            out.append(bool(stripped))
             continue
-        cells = re.split(r"\s*[|\t;]\s*", stripped.strip("|"))
+        cells = _CELLS.split(stripped.strip("|")) if len(stripped) <= LONGEST else ()
         if len(cells) >= 2 and 2 * sum(c[:1].isdigit() for c in cells) >= len(cells):
             out.append(False)  # a row of figures
             continue
