@@ -94,3 +94,9 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_kinds, p3_statistics, p4_found, p4_groups, p5_found, p5_bodies, p6_ids, p6_texts, p7_selection, p7_shares, p8_found, p8_scores)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import oracle_sql as sql
+
+    return sql()
