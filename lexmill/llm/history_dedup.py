@@ -280,8 +280,8 @@ def repeated_items(items: DataFrame, runs: DataFrame, texts: DataFrame, steps: i
     """
     spark = items.sparkSession
     ordered = run_items(items, runs)
-    cuts = [int(x) for x in runs.where("batch_no is not null").approxQuantile("batch_no", [i / steps for i in range(1, steps)], 0.0)]
-    edges = [None, *sorted(set(cuts)), None]
+    cuts = runs.agg(F.percentile_approx("batch_no", [i / steps for i in range(1, steps)], 10_000)).first()[0] if steps > 1 else None
+    edges = [None, *sorted(set(cuts or [])), None]
     history, found = AcceptedHistory(spark), []
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = ordered
