@@ -130,13 +130,31 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: S
         .dropDuplicates(["id"])
     )
     sets = hold(sets, "sets")
-    joined = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
-        .withColumn("both", F.size(F.array_intersect("ta", "tb")))
-        .withColumn("similarity", F.col("both") / (F.size("ta") + F.size("tb") - F.col("both")))
-    )
-    return joined.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                n = part.num_rows
+                left, right = (_keyed(part.column(i)) for i in (2, 3))
+                at = np.minimum(np.searchsorted(left[0], right[0]), max(0, len(left[0]) - 1))
+                hits = left[0][at] == right[0] if len(left[0]) else np.zeros(len(right[0]), bool)
+                both = np.bincount(right[1][hits], minlength=n)
+                union = np.bincount(left[1], minlength=n) + np.bincount(right[1], minlength=n) - both
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both / np.maximum(1, union))], ["a", "b", "similarity"])
+
+    found = joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    return found.where(F.col("similarity") >= threshold)
+
+
+def _keyed(column) -> tuple[np.ndarray, np.ndarray]:
+    """A list column of sorted sets as sorted keys (row, value), and the row of each."""
+    values = np.array(column.flatten()).view(np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), np.diff(np.array(column.offsets)))
+    return row << np.int64(32) | values, row
 
 
 def _triple_sets(batches):

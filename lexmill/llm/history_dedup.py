@@ -234,7 +234,7 @@ class AcceptedHistory:
         pool = rows.select(F.explode(F.array_distinct("keys")).alias("key"), "head", F.lit(True).alias("new"))
         sketches = rows.select("head", "bands", "bits", F.lit(True).alias("new"))
         if self.started:
-            asked = pool.select("key").distinct()
+            asked = pool.select("key").repartition(self.buckets, "key").distinct()  # to the history's buckets, which stay where they are
             pool = pool.union(self._table("paragraphs").join(asked, "key", "left_semi").select("key", "head", F.lit(False)))
             sketches = sketches.union(self._table("sketches").select("head", "bands", "bits", F.lit(False)))
         count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").select("key", (F.col("n") > HOT).alias("hot"))

@@ -144,7 +144,7 @@ def test_p1_history_is_bucketed_and_empty_runs_pass(spark, texts):
     cases = history.admit(spark.createDataFrame([(100, 100, 4, "https://b.example/"), (101, 101, None, "http://a.example/5/"), (102, 102, None, None)], shape), text_df)
     assert {r.item_id for r in cases.collect()} == {100, 101}
     new = spark.createDataFrame([(5,)], "key long")
-    plan = history._table("paragraphs").join(new.repartition(4, "key"), "key")._jdf.queryExecution().toString()
+    plan = history._table("paragraphs").join(new.repartition(4, "key").hint("merge"), "key")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
 
 
