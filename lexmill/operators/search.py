@@ -11,9 +11,9 @@ from ..schemas import QUERY, RANKINGS, SCOPES
 from .index import Index
 from .scoring import K1, B, Scorer, bm25_idf, scorer
 
-#: Query terms up to which the query side is broadcast; a larger batch is joined by shuffle. Up to the second number they are also
-#: literals of the scan.
-BROADCAST_QUERIES, LITERAL_TERMS = 200_000, 2_000
+#: Query terms up to which the query side is broadcast; a larger batch is joined by shuffle. Up to the second number of terms, of up to
+#: the third of queries, they are also literals of the scan.
+BROADCAST_QUERIES, LITERAL_TERMS, LITERAL_QUERIES = 200_000, 2_000, 1_000
 #: Scores are compared at this many digits, so that sums in another order don't change ranks; ties go to the lower id.
 DIGITS = 9
 
@@ -52,56 +52,98 @@ def query_terms(queries: DataFrame, analyze: Analyzer = analyze) -> DataFrame:
     return q.groupBy("qid", "ranking", "scope", "term").agg(F.count("*").alias("times"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+class _Batch:
+    """What must be known of a batch before its plan is made. A batch of few queries comes to the driver once; a large one stays a table.
 
+    terms: (qid, ranking, scope, term, times, place), place numbering the different terms of a query.
+    """
 
-def _weighed(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The query terms (scope, term, …) with df, n_docs and avg_dl, broadcast if they are few enough; and the postings to join them with."""
-    rows = terms.limit(LITERAL_TERMS + 1).collect()  # at most 2,001
-    if len(rows) <= LITERAL_TERMS:
-        terms = terms.sparkSession.createDataFrame(rows, terms.schema)
-        posts, stats = index.narrowed(sorted({r["scope"] for r in rows}), sorted({r["term"] for r in rows}))
-        small = F.broadcast
-    else:
-        posts, stats = index.postings, index.term_stats
-        count = terms.limit(BROADCAST_QUERIES + 1).count()
-        small = F.broadcast if count <= BROADCAST_QUERIES else lambda df: df
-    side = small(terms).join(stats, ["scope", "term"]).join(F.broadcast(index.scope_stats), "scope")  # a row for each scope
-    return small(side), posts
+    def __init__(self, queries: DataFrame, analyze: Analyzer):
+        self.queries = complete_queries(queries)
+        spark = queries.sparkSession
+        rows = self.queries.withColumn("found", analyze(F.col("query"))).limit(LITERAL_QUERIES + 1).collect()  # at most 1,001
+        self.few = len(rows) <= LITERAL_QUERIES
+        self.names: list[str] = []
+        if self.few:
+            counted = []
+            for r in rows:
+                times: dict[str, int] = {}
+                for t in r["found"]:
+                    times[t] = times.get(t, 0) + 1
+                counted += [(r["qid"], r["ranking"], r["scope"], t, n, k) for k, (t, n) in enumerate(times.items())]
+            self.names, self.scopes = sorted({c[3] for c in counted}), sorted({c[2] for c in counted})
+            self.terms = spark.createDataFrame(counted, "qid long, ranking string, scope string, term string, times long, place int")
+            self.queries = spark.createDataFrame([tuple(r[c] for c in self.queries.columns) for r in rows], self.queries.schema)
+            self.filtered = any(r["source"] is not None or r["created_from"] is not None or r["created_to"] is not None for r in rows)
+            self.phrased = any(r["phrase"] for r in rows)
+            self.most = max((c[5] + 1 for c in counted), default=0)
+            self.small = F.broadcast
+        else:
+            place = F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1
+            self.terms = query_terms(self.queries, analyze).withColumn("place", place)
+            bounds = F.col("source").isNotNull() | F.col("created_from").isNotNull() | F.col("created_to").isNotNull()
+            kinds = self.queries.agg(F.max(bounds).alias("f"), F.max("phrase").alias("p")).first()
+            self.filtered, self.phrased = bool(kinds["f"]), bool(kinds["p"])
+            sizes = self.terms.agg(F.count("*").alias("n"), F.max("place").alias("most")).first()
+            self.most = (sizes["most"] or 0) + 1
+            self.small = F.broadcast if sizes["n"] <= BROADCAST_QUERIES else lambda df: df
+
+    def weighed(self, index: Index) -> tuple[DataFrame, DataFrame]:
+        """The terms with df, n_docs and avg_dl, and the postings to join them with."""
+        if self.few and len(self.names) <= LITERAL_TERMS:
+            posts, stats = index.narrowed(self.scopes, self.names)
+        else:
+            posts, stats = index.postings, index.term_stats
+        side = self.small(self.terms).join(stats, ["scope", "term"]).join(F.broadcast(index.scope_stats), "scope")  # a row for each scope
+        return self.small(side), posts
 
 
 def matches(index: Index, queries: DataFrame, analyze: Analyzer = analyze, k1: float = K1, b: float = B, extra: dict[str, Scorer] | None = None) -> DataFrame:
-    """(qid, id, score, matched_terms) of every document with at least one term of a query, after filters and phrase.
+    """(qid, id, score, matched_terms) of every document with at least one term of a query, after filters and phrase."""
+    batch = _Batch(queries, analyze)
+    return _named(_scored(index, batch, analyze, k1, b, extra), batch)
+
+
+def _named(hits: DataFrame, batch: _Batch) -> DataFrame:
+    """Hits with the terms that their masks stand for."""
+    if "mask" not in hits.columns:
+        return hits
+    places = batch.terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "place"))).alias("all"))  # at most 62 for each query
+    with_terms = hits.join(batch.small(places), "qid")
+    matched = F.transform(F.filter("all", lambda t: F.getbit(F.col("mask"), t["place"]) == 1), lambda t: t["term"])
+    rest = [c for c in hits.columns if c not in ("qid", "id", "score", "mask")]
+    return with_terms.select("qid", "id", "score", matched.alias("matched_terms"), *rest)
+
+
+def _scored(index: Index, batch: _Batch, analyze: Analyzer, k1: float, b: float, extra: dict[str, Scorer] | None) -> DataFrame:
+    """(qid, id, score, mask), or matched_terms in place of mask where a query has more than 62 different terms.
 
     Statistics are those of the whole scope; filters never change them. The terms of the batch, with their statistics, form the
-    small side: its size is checked, and it is broadcast to the postings, which are then reduced before any shuffle.
+    small side: its size is checked, and it is broadcast to the postings, which are then reduced before any shuffle. Which terms
+    matched is summed as bits, so that the aggregate stays one of plain numbers.
     """
-    q = complete_queries(queries)
-    weighed, posts = _weighed(index, query_terms(q, analyze))
+    q = batch.queries
+    weighed, posts = batch.weighed(index)
     hits = posts.join(weighed, ["scope", "term"])
     weight = scorer(F.col("ranking"), k1, b, extra)(*(F.col(c).cast("double") for c in ("tf", "df", "dl", "n_docs", "avg_dl")))
-    found = hits.groupBy("qid", "id").agg(F.sum(F.col("times") * weight).alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
-
-    filtered = q.where("source is not null or created_from is not null or created_to is not null")
-    phrased = q.where("phrase")
-    kinds = q.agg(F.max((F.col("source").isNotNull() | F.col("created_from").isNotNull() | F.col("created_to").isNotNull())).alias("f"), F.max("phrase").alias("p")).first()
-    if kinds["f"]:
+    which = F.sum(F.expr("shiftleft(1L, place)")).alias("mask") if batch.most <= 62 else F.sort_array(F.collect_set("term")).alias("matched_terms")
+    found = hits.groupBy("qid", "id").agg(F.sum(F.col("times") * weight).alias("score"), which)
+    columns = found.columns
+    if batch.filtered:
         meta = index.docs.select("id", F.col("source_host").alias("host"), utc_date(F.col("created_at")).alias("day"))
-        conditions = _maybe_broadcast(filtered.select("qid", "source", "created_from", "created_to"))
+        conditions = batch.small(q.where("source is not null or created_from is not null or created_to is not null").select("qid", "source", "created_from", "created_to"))
         found = (
             found.join(conditions, "qid", "left").join(meta, "id", "left")
-            .where(from_source(F.col("host"), F.col("source")) & in_dates(F.col("day"), F.col("created_from"), F.col("created_to")))
-            .select("qid", "id", "score", "matched_terms")
+            .where(from_source(F.col("host"), F.col("source")) & in_dates(F.col("day"), F.col("created_from"), F.col("created_to"))).select(columns)
         )
-    if kinds["p"]:
-        asked = _maybe_broadcast(phrased.select("qid", F.col("scope").alias("asked"), analyze(F.col("query")).alias("run")))
+    if batch.phrased:
+        asked = batch.small(q.where("phrase").select("qid", F.col("scope").alias("asked"), analyze(F.col("query")).alias("run")))
         both = index.terms.where("scope in ('title', 'content')").select("id", F.col("scope").alias("field"), "terms")
         exact = (
             found.select("qid", "id").join(asked, "qid").join(both, "id").where((F.col("asked") == "all") | (F.col("asked") == F.col("field")))
             .where(has_phrase(F.col("terms"), F.col("run"))).select("qid", "id").distinct()
         )
-        plain = found.join(phrased.select("qid"), "qid", "left_anti")
+        plain = found.join(batch.small(q.where("phrase").select("qid")), "qid", "left_anti")
         found = plain.unionByName(found.join(exact, ["qid", "id"], "left_semi"))
     return found
 
@@ -131,19 +173,31 @@ def enriched(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return page.select("qid", "rank", F.col("id").alias("document_id"), "title", "url", "score", snippet(F.col("title"), F.col("content"), F.col("matched_terms")).alias("snippet"), "matched_terms")
 
 
-def search(index: Index, queries: DataFrame, limit: int = 10, offset: int = 0, **options) -> DataFrame:
-    """The page of results of each query of the batch, enriched."""
-    return enriched(ranked(matches(index, queries, **options), limit, offset), index.docs)
+def search(index: Index, queries: DataFrame, limit: int = 10, offset: int = 0, analyze: Analyzer = analyze, k1: float = K1, b: float = B, extra: dict[str, Scorer] | None = None) -> DataFrame:
+    """The page of results of each query of the batch, enriched.
+
+    Equal queries of a batch are answered once: popular queries cost their page, not their scoring, again.
+    """
+    q = complete_queries(queries)
+    what = [c for c in q.columns if c != "qid"]
+    key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in what))
+    keyed = q.withColumn("same", key)
+    batch = _Batch(keyed.groupBy(F.col("same").alias("qid")).agg(*(F.first(c).alias(c) for c in what)), analyze)
+    top = _named(ranked(_scored(index, batch, analyze, k1, b, extra), limit, offset), batch)
+    page = enriched(top, index.docs).withColumnRenamed("qid", "same")
+    return page.join(keyed.select("same", "qid"), "same").select("qid", *[c for c in page.columns if c != "same"])
 
 
 def explained(index: Index, queries: DataFrame, ids: DataFrame | None = None, analyze: Analyzer = analyze, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, id, pos, term, tf, df, idf, contribution): what each query term, in query order and as often as it stands, adds to a document's
     BM25 score; for the documents ``ids`` (id), or all that match. Terms that don't occur in a document have no row."""
-    q = complete_queries(queries).select("qid", "scope", F.posexplode(analyze(F.col("query"))).alias("pos", "term"))
-    weighed, posts = _weighed(index, q)
-    hits = posts.join(weighed, ["scope", "term"])
+    batch = _Batch(queries, analyze)
+    weighed, posts = batch.weighed(index)
+    hits = posts.join(weighed.drop("ranking", "times", "place"), ["scope", "term"])
     if ids is not None:
-        hits = hits.join(_maybe_broadcast(ids.select("id").distinct()), "id", "left_semi")
+        hits = hits.join(ids.select("id").distinct(), "id", "left_semi")
+    places = batch.queries.select("qid", F.posexplode(analyze(F.col("query"))).alias("pos", "term"))
+    hits = hits.join(batch.small(places), ["qid", "term"])
     tf, df, dl, n, avg = (F.col(c).cast("double") for c in ("tf", "df", "dl", "n_docs", "avg_dl"))
     idf = bm25_idf(n, df)
     return hits.select("qid", "id", F.col("pos").cast("long").alias("pos"), "term", "tf", "df", idf.alias("idf"), (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg))).alias("contribution"))

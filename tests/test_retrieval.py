@@ -127,10 +127,25 @@ def test_literal_and_joined_terms_agree(spark, corpus, monkeypatch):
     q = session.batch([{"query": "search engine term"}, {"query": "index", "scope": "title"}])
     one = sorted((r.qid, r.id, round(r.score, 9)) for r in search.matches(session.index, q).collect())
     monkeypatch.setattr(search, "LITERAL_TERMS", 0)
+    assert one == sorted((r.qid, r.id, round(r.score, 9)) for r in search.matches(session.index, q).collect())
+    monkeypatch.setattr(search, "LITERAL_QUERIES", 0)
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
     assert one == sorted((r.qid, r.id, round(r.score, 9)) for r in search.matches(session.index, q).collect())
 
 
+def test_equal_queries_and_long_ones(spark, corpus):
+    session = RetrievalSession.from_documents(spark, spark.createDataFrame(corpus, DOC))
+    many = " ".join(f"w{i}" for i in range(80)) + " search index"
+    q = session.batch([{"query": "search engine"}, {"query": "search engine"}, {"query": "search engine", "scope": "title"}, {"query": many}])
+    pages = {}
+    for r in session.search(q, 5).orderBy("qid", "rank").collect():
+        pages.setdefault(r.qid, []).append((r.document_id, round(r.score, 9), tuple(r.matched_terms)))
+    assert pages[0] == pages[1] != pages[2]
+    assert [p[:2] for p in pages[0]] == [(i, round(s, 9)) for i, s in brute(corpus, "search engine", "all", "bm25")[:5]]
+    assert [p[:2] for p in pages[3]] == [(i, round(s, 9)) for i, s in brute(corpus, many, "all", "bm25")[:5]]
+    assert set(pages[3][0][2]) <= {"search", "index"}
+
+
 def test_custom_scorer(spark, corpus):
     session = RetrievalSession.from_documents(spark, spark.createDataFrame(corpus, DOC))
     q = session.batch([{"query": "search", "ranking": "flat"}])
