@@ -109,12 +109,13 @@ def write_index(corpus: DataFrame, path: str, analyze: Analyzer = analyze, files
     """Write all tables below ``path``, which must not exist.
 
     Postings lie by scope, range-partitioned and sorted by (term, id): a query reads the few row groups whose term range
-    or Bloom filter admits its terms. Document terms are written once and everything else is derived from them, so the
+    or Bloom filter admits its terms. Documents lie by id, for pages of results. Document terms are written once and everything else is derived from them, so the
     texts are analyzed once.
     """
     spark = corpus.sparkSession
     docs = clean_corpus(corpus)
-    docs.write.parquet(f"{path}/docs")
+    by_id = docs.repartitionByRange(files, "id") if files else docs.repartitionByRange("id")
+    by_id.sortWithinPartitions("id").write.parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     document_terms(docs, analyze).write.partitionBy("scope").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms").select("scope", "id", "terms")

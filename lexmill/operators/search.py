@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hosts import from_source, in_dates, normalize_source, utc_date
+from ..functions.local import local_table
 from ..functions.text import Analyzer, analyze, has_phrase, snippet, strip
 from ..schemas import QUERY, RANKINGS, SCOPES
 from .index import Index
@@ -14,6 +15,8 @@ from .scoring import K1, B, Scorer, bm25_idf, scorer
 #: Query terms up to which the query side is broadcast; a larger batch is joined by shuffle. Up to the second number of terms, of up to
 #: the third of queries, they are also literals of the scan.
 BROADCAST_QUERIES, LITERAL_TERMS, LITERAL_QUERIES = 200_000, 2_000, 1_000
+#: Results of a batch up to which their ids are literals of the scan of the documents.
+PAGE_ROWS = 5_000
 #: Scores are compared at this many digits, so that sums in another order don't change ranks; ties go to the lower id.
 DIGITS = 9
 
@@ -72,8 +75,12 @@ class _Batch:
                     times[t] = times.get(t, 0) + 1
                 counted += [(r["qid"], r["ranking"], r["scope"], t, n, k) for k, (t, n) in enumerate(times.items())]
             self.names, self.scopes = sorted({c[3] for c in counted}), sorted({c[2] for c in counted})
-            self.terms = spark.createDataFrame(counted, "qid long, ranking string, scope string, term string, times long, place int")
-            self.queries = spark.createDataFrame([tuple(r[c] for c in self.queries.columns) for r in rows], self.queries.schema)
+            names: dict[int, list] = {}
+            for c in counted:
+                names.setdefault(c[0], []).append((c[3], c[5]))
+            self.places = local_table(spark, [(k, [{"term": t, "place": p} for t, p in sorted(v)]) for k, v in names.items()], "qid long, all array<struct<term: string, place: int>>")
+            self.terms = local_table(spark, counted, "qid long, ranking string, scope string, term string, times long, place int")
+            self.queries = local_table(spark, [tuple(r[c] for c in self.queries.columns) for r in rows], self.queries.schema)
             self.filtered = any(r["source"] is not None or r["created_from"] is not None or r["created_to"] is not None for r in rows)
             self.phrased = any(r["phrase"] for r in rows)
             self.most = max((c[5] + 1 for c in counted), default=0)
@@ -81,6 +88,7 @@ class _Batch:
         else:
             place = F.row_number().over(Window.partitionBy("qid").orderBy("term")) - 1
             self.terms = query_terms(self.queries, analyze).withColumn("place", place)
+            self.places = self.terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "place"))).alias("all"))  # the terms of one query
             bounds = F.col("source").isNotNull() | F.col("created_from").isNotNull() | F.col("created_to").isNotNull()
             kinds = self.queries.agg(F.max(bounds).alias("f"), F.max("phrase").alias("p")).first()
             self.filtered, self.phrased = bool(kinds["f"]), bool(kinds["p"])
@@ -108,8 +116,7 @@ def _named(hits: DataFrame, batch: _Batch) -> DataFrame:
     """Hits with the terms that their masks stand for."""
     if "mask" not in hits.columns:
         return hits
-    places = batch.terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "place"))).alias("all"))  # at most 62 for each query
-    with_terms = hits.join(batch.small(places), "qid")
+    with_terms = hits.join(batch.small(batch.places), "qid")
     matched = F.transform(F.filter("all", lambda t: F.getbit(F.col("mask"), t["place"]) == 1), lambda t: t["term"])
     rest = [c for c in hits.columns if c not in ("qid", "id", "score", "mask")]
     return with_terms.select("qid", "id", "score", matched.alias("matched_terms"), *rest)
@@ -176,16 +183,32 @@ def enriched(hits: DataFrame, docs: DataFrame) -> DataFrame:
 def search(index: Index, queries: DataFrame, limit: int = 10, offset: int = 0, analyze: Analyzer = analyze, k1: float = K1, b: float = B, extra: dict[str, Scorer] | None = None) -> DataFrame:
     """The page of results of each query of the batch, enriched.
 
-    Equal queries of a batch are answered once: popular queries cost their page, not their scoring, again.
+    Equal queries of a batch are answered once: popular queries cost their page, not their scoring, again. The page of a
+    small batch (up to PAGE_ROWS results) is ranked at once; its ids are then literals of the scan of the documents, which lie by id, so that
+    only the row groups that hold them are read. A large batch stays one lazy plan.
     """
     q = complete_queries(queries)
     what = [c for c in q.columns if c != "qid"]
-    key = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in what))
-    keyed = q.withColumn("same", key)
-    batch = _Batch(keyed.groupBy(F.col("same").alias("qid")).agg(*(F.first(c).alias(c) for c in what)), analyze)
+    spark = q.sparkSession
+    rows = q.limit(LITERAL_QUERIES + 1).collect()  # at most 1,001
+    if len(rows) <= LITERAL_QUERIES:
+        same: dict[tuple, int] = {}
+        pairs = [(same.setdefault(tuple(r[c] for c in what), len(same)), r["qid"]) for r in rows]
+        distinct = local_table(spark, [(n, *key) for key, n in same.items()], q.select("qid", *what).schema)
+        names = F.broadcast(local_table(spark, pairs, "same long, qid long"))
+    else:
+        keyed = q.withColumn("same", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in what)))
+        distinct = keyed.groupBy(F.col("same").alias("qid")).agg(*(F.first(c).alias(c) for c in what))
+        names = keyed.select("same", "qid")
+    batch = _Batch(distinct, analyze)
     top = _named(ranked(_scored(index, batch, analyze, k1, b, extra), limit, offset), batch)
-    page = enriched(top, index.docs).withColumnRenamed("qid", "same")
-    return page.join(keyed.select("same", "qid"), "same").select("qid", *[c for c in page.columns if c != "same"])
+    docs = index.docs
+    if batch.few and max(0, limit) * len(same) <= PAGE_ROWS:
+        found = top.collect()
+        top = F.broadcast(local_table(spark, found, top.schema))
+        docs = docs.where(F.col("id").isin(sorted({r["id"] for r in found})))
+    page = enriched(top, docs).withColumnRenamed("qid", "same")
+    return page.join(names, "same").select("qid", *[c for c in page.columns if c != "same"])
 
 
 def explained(index: Index, queries: DataFrame, ids: DataFrame | None = None, analyze: Analyzer = analyze, k1: float = K1, b: float = B) -> DataFrame:

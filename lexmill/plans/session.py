@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as html_functions
+from ..functions.local import local_table
 from ..functions.text import Analyzer, analyze
 from ..operators import crawl, evaluate, ingest, search
 from ..operators.index import Index, clean_corpus, lazy_index, removed, upserted
@@ -48,7 +49,7 @@ class RetrievalSession:
         """Queries from dicts with the columns of the query shape; a missing qid is the place in the list."""
         names = [f.name for f in QUERY.fields]
         rows = [tuple({"qid": i, "ranking": "bm25", "scope": "all", "phrase": False, **q}.get(n) for n in names) for i, q in enumerate(queries)]
-        return self.spark.createDataFrame(rows, QUERY)
+        return local_table(self.spark, rows, QUERY)
 
     def search(self, queries: DataFrame, limit: int = 10, offset: int = 0, k1: float = search.K1, b: float = search.B) -> DataFrame:
         search.check_batch(queries)
@@ -71,7 +72,7 @@ class RetrievalSession:
         """Contributions of the terms to a document's BM25 score in scope all; an unknown document raises."""
         if not self.index.docs.where(F.col("id") == document_id).limit(1).count():
             raise KeyError(document_id)
-        ids = self.spark.createDataFrame([(document_id,)], "id long")
+        ids = local_table(self.spark, [(document_id,)], "id long")
         return search.explained(self.index, self.batch([{"query": query}]), ids, self.analyze).orderBy("pos")
 
     def evaluate(self, queries: DataFrame, judgments: DataFrame, k: int = 3, rankings: tuple[str, ...] = ("bm25", "tfidf")) -> DataFrame:
