@@ -87,7 +87,8 @@ _TOKENS = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。;:][\"'”’»)\]]*$")
 _MARK = re.compile(r"^\s*(?:[-*•+·–]|\d{1,4}[.)])\s+")
 _PLAIN = set(".,;:!?'\"()-…—–。、«»“”‘’¿¡")
-_VOWEL = set("aeiouyàáâäãåæèéêëìíîïòóôöõøùúûüœ")
+_LETTER = np.zeros(256, np.int64)
+_LETTER[97:123] = np.arange(1, 27)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _DELIM = re.compile(r"[\t|=<>{}\[\]\\/+#@~^*_]|[,;](?=\S)|;$")
 _NUMERIC = re.compile(r"^[-+]?[\d.,:%/]*\d[\d.,:%/]*$")
@@ -114,8 +115,44 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def block_features(part: list[str], common: set[str]) -> np.ndarray:
+def _pairs(text: str) -> np.ndarray:
+    """Pairs of successive letters a to z of a text, with 0 for anything else, where at least one is a letter."""
+    codes = _LETTER[np.frombuffer(text.lower().encode("ascii", "replace"), np.uint8)]
+    pairs = codes[:-1] * 27 + codes[1:]
+    return pairs[pairs > 0]
+
+
+def letter_model(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(bits of each pair of letters, their mean) from counts of pairs, to which the prose among the examples is added."""
+    base = sum(np.bincount(_pairs(t), minlength=729) for kind, name, texts in EXAMPLES for t in texts if kind == "prose")
+    share = (counts + 10.0 * base + 0.5).reshape(27, 27)
+    bits = -np.log2(share / share.sum(1, keepdims=True)).ravel()
+    weight = share.ravel() / share.sum()
+    return bits, float((weight * bits).sum())
+
+
+def fit_letters(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """The letter model of all texts of (text); 729 sums reach the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(729, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text and len(text) > 1:
+                    counts += np.bincount(_pairs(text), minlength=729)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(729)), pa.array(counts)], ["i", "n"])
+
+    counts = np.zeros(729)
+    for i, n in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
+        counts[i] = n
+    return letter_model(counts)
+
+
+def block_features(part: list[str], common: set[str], letters_: tuple[np.ndarray, float]) -> np.ndarray:
     """A row of statistics for each block of one document; see the names beside the values."""
+    bits, usual = letters_
     rows = np.zeros((len(part), N_FEATURES), np.float32)
     short = []
     for i, b in enumerate(part):
@@ -141,7 +178,8 @@ def block_features(part: list[str], common: set[str]) -> np.ndarray:
         rows[i, 8] = bool(_MARK.match(b))  # list mark
         rows[i, 9] = len(_MIXED.findall(b)) / max(4, len(tokens)) if len(b) else 0  # odd case and letters among digits
         rows[i, 9] = min(1.5, rows[i, 9])
-        rows[i, 10] = 0.0 if len(latin) < 8 or foreign else max(0.0, 0.36 - sum(c in _VOWEL for c in latin) / len(latin)) * 3  # lack of vowels
+        pairs = _pairs(b) if len(latin) >= 8 and not foreign else ()
+        rows[i, 10] = min(4.0, max(-0.5, float(bits[pairs].mean()) - usual)) if len(pairs) else 0.0  # surprise of its letter pairs
         rows[i, 11] = 0.0 if cjk or foreign else sum(len(w) == 1 for w in words) / count  # single letters
         rows[i, 12] = sum(bool(_NUMERIC.match(t)) for t in tokens) / max(1, len(tokens))  # numbers among tokens
         short.append(count < 7 and not rows[i, 6])
@@ -155,18 +193,18 @@ def block_features(part: list[str], common: set[str]) -> np.ndarray:
     return rows
 
 
-def example_features(common: set[str]) -> list[np.ndarray]:
+def example_features(common: set[str], letters: tuple[np.ndarray, float]) -> list[np.ndarray]:
     """Statistics of the examples of each component. Entries of lists stand in runs, as they do in documents."""
     found = []
     for _, name, texts in EXAMPLES:
-        rows = [block_features(blocks(t), common) for t in texts]
+        rows = [block_features(blocks(t), common, letters) for t in texts]
         if name == "list entries":
-            rows = [block_features(texts, common)]
+            rows = [block_features(texts, common, letters)]
         found.append(np.concatenate(rows))
     return found
 
 
-def block_table(docs: DataFrame, common: set[str], least_chars: int = 1) -> DataFrame:
+def block_table(docs: DataFrame, common: set[str], letters: tuple[np.ndarray, float], least_chars: int = 1) -> DataFrame:
     """(id, chars, stats array<float>): a row for each block of (id, text); documents under ``least_chars`` characters have none."""
 
     def run(batches):
@@ -181,7 +219,7 @@ def block_table(docs: DataFrame, common: set[str], least_chars: int = 1) -> Data
                         continue
                     ids += [key] * len(bs)
                     chars += map(len, bs)
-                    rows.append(block_features(bs, common))
+                    rows.append(block_features(bs, common, letters))
                 if ids:
                     x = np.concatenate(rows)
                     offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * N_FEATURES)
@@ -228,7 +266,7 @@ def _summed(blocks_: DataFrame, function, length: int) -> np.ndarray:
     return total
 
 
-def fit_mixture(blocks_: DataFrame, common: set[str], rounds: int = ROUNDS) -> dict:
+def fit_mixture(blocks_: DataFrame, common: set[str], letters: tuple[np.ndarray, float], rounds: int = ROUNDS) -> dict:
     """A Gaussian mixture of the standardised statistics of all blocks, by expectation-maximisation.
 
     Each round is one pass in which tasks sum the moments of their blocks. There is a component for each set of examples,
@@ -237,7 +275,7 @@ def fit_mixture(blocks_: DataFrame, common: set[str], rounds: int = ROUNDS) -> d
     """
     d, k = N_FEATURES, len(EXAMPLES)
     moments = _summed(blocks_, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
-    shown = example_features(common)
+    shown = example_features(common, letters)
     n = moments[0]
     if n:
         centre = moments[1 : 1 + d] / n
@@ -287,8 +325,9 @@ def document_kinds(docs: DataFrame, words: DataFrame, least_chars: int = 1, roun
     the common words, at most 100,000 of them. Null and blank texts and texts under ``least_chars`` have no row.
     """
     common = {r[0] for r in words.select(F.lower("word")).where("word is not null").distinct().limit(100_000).collect()}
-    blocks_ = written(block_table(docs, common, least_chars), "blocks")
-    model = fit_mixture(blocks_, common, rounds)
+    letters = fit_letters(docs)
+    blocks_ = written(block_table(docs, common, letters, least_chars), "blocks")
+    model = fit_mixture(blocks_, common, letters, rounds)
     kinds = sorted(set(KINDS))
     column = np.array([kinds.index(x) for x in KINDS])
 
