@@ -364,6 +364,9 @@ def line_labels(text: str, odds: dict) -> list[bool]:
         if len(cells) >= 2 and 2 * sum(c[:1].isdigit() for c in cells) >= len(cells):
             out.append(False)  # a row of figures
             continue
+        if len(stripped) > 40 and " " not in stripped:
+            out.append(False)  # one long word isn't wording
+            continue
         near = [shape[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(lines)]
         row = bool(shape[k]) and shape[k] in near
         out.append(not row and evidence(stripped, odds) > EVIDENCE)
