@@ -35,8 +35,8 @@ def document_host(source_host: Column, url: Column) -> Column:
 
 
 def utc_date(ts: Column) -> Column:
-    """The calendar day in the session's time zone, which is UTC here."""
-    return F.to_date(ts)
+    """The calendar day in UTC, whatever the session's time zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
 
 
 def from_source(host: Column, source: Column) -> Column:
@@ -50,13 +50,16 @@ def in_dates(day: Column, first: Column, last: Column) -> Column:
 
 
 def matches_metadata(host: Column, created_at: Column, source: str | None = None, created_from: dt.date | None = None, created_to: dt.date | None = None) -> Column:
-    """Both filters with constant arguments; only the active ones are in the expression, so that they reach the scan."""
+    """Both filters with constant arguments; only the active ones are in the condition. Days are compared as instants, which the scan can use.
+
+    For ``where``: a null host or date makes the condition null, which doesn't pass.
+    """
     condition = F.lit(True)
     name = (source or "").strip().lower().rstrip(".")
     if name:
-        condition &= F.coalesce((host == name) | F.endswith(host, F.lit("." + name)), F.lit(False))
+        condition &= (host == name) | F.endswith(host, F.lit("." + name))
     if created_from is not None:
-        condition &= F.coalesce(utc_date(created_at) >= F.lit(created_from), F.lit(False))
+        condition &= created_at >= F.lit(dt.datetime.combine(created_from, dt.time(), dt.UTC))
     if created_to is not None:
-        condition &= F.coalesce(utc_date(created_at) <= F.lit(created_to), F.lit(False))
+        condition &= created_at < F.lit(dt.datetime.combine(created_to + dt.timedelta(days=1), dt.time(), dt.UTC))
     return condition

@@ -72,7 +72,7 @@ def _batch(ranking: str | None = None, scope: str | None = None) -> list:
 
 
 _OWN = f"(x.source_host = '{SOURCE}' OR x.source_host LIKE '%.{SOURCE}')"
-_DAYS = f"CAST(x.created_at AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
+_DAYS = f"CAST(x.created_at AT TIME ZONE 'UTC' AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
 
 _JUDGED = f"""WITH d AS (SELECT doc_id AS id, nullif(lower({_strip("source")}), '') AS name, text FROM documents),
 terms AS (SELECT doc_id AS id, {_tok("text")} AS terms FROM documents), lengths AS (SELECT id, len(terms) AS dl FROM terms), stats AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM lengths),
@@ -137,11 +137,11 @@ FROM qt JOIN postings p ON p.scope = qt.scope AND p.term = qt.term JOIN dfs d ON
 WHERE t.scope IN ('title', 'content') AND len({_tok("query")}) > 0 AND contains(' ' || array_to_string(t.terms, ' ') || ' ', ' ' || array_to_string({_tok("query")}, ' ') || ' ')""",
         "phrase_bm25": _page(_matches([(a, b, "bm25", c) for a, b, c in PHRASES], phrase=True)),
         "filter_source": f"WITH {DOCS} SELECT id, source_host FROM docs x WHERE {_OWN}",
-        "filter_dates": f"WITH {DOCS} SELECT id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day FROM docs x WHERE {_DAYS}",
+        "filter_dates": f"WITH {DOCS} SELECT id, CAST(CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day FROM docs x WHERE {_DAYS}",
         "filter_combined": f"WITH {DOCS} SELECT id FROM docs x WHERE {_OWN} AND {_DAYS}",
         "filtered_search": _page(_matches(BATCH, where=f"{_OWN} AND {_DAYS}")),
         "source_hosts": f"SELECT DISTINCT id, {_host('url')} AS url_host, {_source('source_host')} AS given, coalesce({_source('source_host')}, {_host('url')}) AS host FROM indexed_documents",
-        "utc_dates": "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(DISTINCT id) AS n FROM indexed_documents GROUP BY 1",
+        "utc_dates": "SELECT CAST(CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, count(DISTINCT id) AS n FROM indexed_documents GROUP BY 1",
         "snippets": f"WITH {DOCS} SELECT id, {_snippet('''contains(lower(p), 'archive') OR contains(lower(p), 'slow')''')} AS snippet FROM docs",
         "search_page_enriched": f"""{_matches(BATCH)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM found)
 SELECT qid, rank, r.id AS document_id, title, url, round(score, 6) AS score, {_snippet("len(list_filter(r.matched_terms, lambda t: contains(lower(p), t))) > 0")} AS snippet, array_to_string(matched_terms, ' ') AS matched_terms FROM ranked r JOIN docs USING (id) WHERE rank <= 10""",
