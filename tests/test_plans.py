@@ -1,7 +1,7 @@
 import json
 
 from lexmill.plans import report
-from lexmill.plans.pipeline import crawl_encyclopedia
+from lexmill.plans.pipeline import crawl_encyclopedia, crawl_feeds
 from lexmill.plans.session import RetrievalSession
 from lexmill.sources import fetch
 from lexmill.sources.category_pages import PoliteClient
@@ -25,6 +25,23 @@ def test_crawl_to_documents(spark):
     assert {i.page_id: i.error for i in got.items.collect()} == {1: None, 2: "duplicate_url", 3: None, 4: "http_500"}
 
 
+def test_feeds_to_documents(spark):
+    item = "<item><title>{0}</title><link>https://{1}.example/{0}?ref=1</link>{2}</item>"
+    inside = '<encoded xmlns="http://purl.org/rss/1.0/modules/content/">&lt;p&gt;Body of it&lt;/p&gt;</encoded>'
+    xml = "<rss><channel>" + item.format("one", "a", inside) + item.format("two", "a", "") + item.format("three", "a", "") + item.format("four", "b", inside) + item.format("one", "a", inside) + "</channel></rss>"
+    page_two = '<html><head><link rel="canonical" href="https://a.example/two"><title>Two</title></head><body><article><p>Second body</p></article></body></html>'
+    feeds_ = spark.createDataFrame([(1, xml, "https://a.example/feed"), (2, "<rss", "https://c.example/feed")], "feed_id long, xml string, url string")
+    pages = spark.createDataFrame([("https://a.example/two", page_two, None)], "url string, html string, error string")
+    docs = spark.createDataFrame([(5, "https://a.example/two")], "id long, url string")
+    got = crawl_feeds(feeds_, pages, docs)
+    assert {(r.title, r.status, r.error) for r in got.items.collect()} == {("one", "imported", None), ("two", "skipped", "duplicate_url"), ("three", None, "http_404")}
+    r = got.counts.first()
+    assert (r.discovered, r.fetched, r.imported, r.skipped, r.failed) == (3, 2, 1, 1, 1)
+    assert [(d.id, d.title, d.content) for d in got.documents.collect()] == [(6, "one", "Body of it")]
+    assert got.categories.first().error == "rss_invalid_feed"
+    assert crawl_feeds(feeds_, pages, docs, most=1).counts.first().discovered == 1
+
+
 class Fake:
     def __init__(self, body, kind):
         self.body, self.headers = body, {"Content-Type": kind}
