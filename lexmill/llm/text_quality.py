@@ -85,8 +85,10 @@ ROUNDS, PRIOR_SHARE, FLOOR = 12, 0.004, 0.08
 _WORDS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。;:][\"'”’»)\]]*$")
-_MARK = re.compile(r"^\s*(?:[-*•+·–]|\d{1,4}[.)])\s+")
-_PLAIN = set(".,;:!?'\"()-…—–。、«»“”‘’¿¡")
+_MARK = re.compile(r"^\s*(?:[-*•◦‣▪●○+·–]|\d{1,4}[.)])\s+")
+_PLAIN = dict.fromkeys(map(ord, ".,;:!?'\"()-…—–。、«»“”‘’¿¡"))
+_DIGITS, _NOT_LATIN = re.compile(r"\d+"), re.compile(r"[^\x00-\u024f]+")
+_ENDS = re.compile(r"[.!?…。][\"'”’»)\]]*$")
 _LETTER = np.zeros(256, np.int64)
 _LETTER[97:123] = np.arange(1, 27)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -162,10 +164,10 @@ def block_features(part: list[str], common: set[str], letters_: tuple[np.ndarray
         words = _WORDS.findall(b.lower())
         tokens = _TOKENS.findall(b)
         letters = sum(map(len, words))
-        digits = sum(c.isdigit() for c in solid)
-        plain = sum(c in _PLAIN for c in solid)
-        latin = [c for c in "".join(words) if c < "ɐ"]
-        foreign = letters - len(latin) > len(latin)
+        digits = n - len(_DIGITS.sub("", solid)) if solid else 0
+        plain = n - len(solid.translate(_PLAIN)) if solid else 0
+        latin = letters - sum(map(len, _NOT_LATIN.findall("".join(words))))
+        foreign = letters > 2 * latin
         count = max(1, len(words) - (1 if cjk else 0) + cjk // 2) if cjk else max(1, len(words))
         rows[i, 0] = letters / n  # letter share
         rows[i, 1] = digits / n  # digit share
@@ -173,12 +175,12 @@ def block_features(part: list[str], common: set[str], letters_: tuple[np.ndarray
         rows[i, 3] = np.log1p(count)  # words
         rows[i, 4] = 5.0 if cjk else min(16.0, letters / count)  # mean word length
         rows[i, 5] = 0.3 if foreign else sum(w in common for w in words) / count  # share of common words
-        rows[i, 6] = bool(re.search(r"[.!?…。][\"'”’»)\]]*$", b.rstrip()))  # ends as a sentence
+        rows[i, 6] = bool(_ENDS.search(b.rstrip()))  # ends as a sentence
         rows[i, 7] = min(1.5, len(_DELIM.findall(b)) / max(1, len(tokens)))  # delimiters
         rows[i, 8] = bool(_MARK.match(b))  # list mark
         rows[i, 9] = len(_MIXED.findall(b)) / max(4, len(tokens)) if len(b) else 0  # odd case and letters among digits
         rows[i, 9] = min(1.5, rows[i, 9])
-        pairs = _pairs(b) if len(latin) >= 8 and not foreign else ()
+        pairs = _pairs(b) if latin >= 8 and not foreign else ()
         rows[i, 10] = min(4.0, max(-0.5, float(bits[pairs].mean()) - usual)) if len(pairs) else 0.0  # surprise of its letter pairs
         rows[i, 11] = 0.0 if cjk or foreign else sum(len(w) == 1 for w in words) / count  # single letters
         rows[i, 12] = sum(bool(_NUMERIC.match(t)) for t in tokens) / max(1, len(tokens))  # numbers among tokens
@@ -229,12 +231,11 @@ def block_table(docs: DataFrame, common: set[str], letters: tuple[np.ndarray, fl
 
 
 def _log_density(x: np.ndarray, model: dict) -> np.ndarray:
-    """Log of weight times density, a column for each component."""
-    out = np.empty((len(x), len(model["weight"])))
-    for k in range(out.shape[1]):
-        y = np.linalg.solve(model["chol"][k], (x - model["mean"][k]).T)
-        out[:, k] = np.log(model["weight"][k]) - np.log(np.diag(model["chol"][k])).sum() - 0.5 * (y * y).sum(0)
-    return out
+    """Log of weight times density, a column for each component; all whitened in one product."""
+    k = len(model["weight"])
+    y = x @ model["white"] - model["shift"]
+    y *= y
+    return model["const"] - 0.5 * y.reshape(len(x), k, N_FEATURES).sum(2)
 
 
 def _shares(x: np.ndarray, model: dict) -> np.ndarray:
@@ -287,20 +288,29 @@ def fit_mixture(blocks_: DataFrame, common: set[str], letters: tuple[np.ndarray,
     shown = [(x - centre) / scale for x in shown]
     prior = max(1.0, PRIOR_SHARE * n)
 
+    upper = np.triu_indices(d)
+
     def moved(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x, optimize=True).ravel()])
+        """Sums of weights, of statistics and of their products (the upper half), by component."""
+        return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x[:, upper[0]] * x[:, upper[1]])).ravel()])
 
-    base = np.zeros(k + k * d + k * d * d)
+    base = np.zeros(k + k * d + k * len(upper[0]))
     for j, x in enumerate(shown):
         r = np.zeros((len(x), k))
         r[:, j] = prior / len(x)
         base += moved(x, r)
 
     def model_of(total: np.ndarray) -> dict:
-        weight, first, second = total[:k], total[k : k + k * d].reshape(k, d), total[k + k * d :].reshape(k, d, d)
+        weight, first, second = total[:k], total[k : k + k * d].reshape(k, d), np.empty((k, d, d))
+        half = total[k + k * d :].reshape(k, -1)
+        second[:, upper[0], upper[1]] = half
+        second[:, upper[1], upper[0]] = half
         mean = first / weight[:, None]
         cov = second / weight[:, None, None] - np.einsum("ki,kj->kij", mean, mean) + FLOOR * np.eye(d)
-        return {"weight": weight / weight.sum(), "mean": mean, "chol": np.linalg.cholesky(cov), "centre": centre, "scale": scale}
+        chol = np.linalg.cholesky(cov)
+        white = np.linalg.inv(chol)
+        const = np.log(weight / weight.sum()) - np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(1)
+        return {"weight": weight, "white": white.reshape(k * d, d).T.copy(), "shift": np.einsum("kij,kj->ki", white, mean).ravel(), "const": const, "centre": centre, "scale": scale}
 
     model = model_of(base)
     for _ in range(rounds if n else 0):
