@@ -78,7 +78,8 @@ def capped(items: DataFrame, runs: DataFrame) -> DataFrame:
     """The items of each run up to its max_articles, first by position, each canonical_url once. items: job_id, position, id, canonical_url; runs: job_id, max_articles."""
     once = first_wins(items.select("job_id", "canonical_url", "position", "id"), "canonical_url", ["position", "id"], ["job_id"])
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy("position", "id"))
-    return once.withColumn("n", rank).join(runs.select("job_id", "max_articles"), "job_id").where("n <= max_articles").select("job_id", "position", "id", "canonical_url", F.col("n").cast("long").alias("n"))
+    most = runs.agg(F.max("max_articles")).first()[0] or 0  # as a literal it lets each task keep only so many rows of a run
+    return once.withColumn("n", rank).where(F.col("n") <= most).join(runs.select("job_id", "max_articles"), "job_id").where("n <= max_articles").select("job_id", "position", "id", "canonical_url", F.col("n").cast("long").alias("n"))
 
 
 def crawl_counts(items: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -101,13 +101,13 @@ def imported_documents(items: DataFrame, documents: DataFrame, order: list[str])
     Ids follow the order of items: ranges are cut by order, each task numbers its own, and only the tasks' counts meet.
     """
     good = items.where("status = 'imported'").select(*order, "title", "content", "url").repartitionByRange(*order).sortWithinPartitions(*order)
-    base = documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
+    base = documents.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     parted = good.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
     return (
-        parted.join(F.broadcast(before), "part").crossJoin(F.broadcast(base))  # one row
-        .select((F.col("base") + F.col("before") + F.col("at") + 1).alias("id"), "title", "content", "url", F.lit("active").alias("status"))
+        parted.join(F.broadcast(before), "part")
+        .select((base + F.col("before") + F.col("at") + 1).alias("id"), "title", "content", "url", F.lit("active").alias("status"))
     )
