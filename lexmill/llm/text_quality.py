@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import written
 
 #: Inspected examples, invented: the kind of each component of the mixture, its name, and blocks that belong to it.
 EXAMPLES: list[tuple[str, str, list[str]]] = [
@@ -81,6 +81,8 @@ EXAMPLES: list[tuple[str, str, list[str]]] = [
 KINDS = [k for k, _, _ in EXAMPLES]
 N_FEATURES = 14
 ROUNDS, PRIOR_SHARE, FLOOR = 12, 0.004, 0.08
+#: Common words that are used at most.
+MOST_WORDS = 100_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"\S+")
@@ -334,7 +336,7 @@ def document_kinds(docs: DataFrame, words: DataFrame, least_chars: int = 1, roun
     A block's characters go to the kind of the component it most probably belongs to. Repeated rows count once. ``words`` (word) are
     the common words, at most 100,000 of them. Null and blank texts and texts under ``least_chars`` have no row.
     """
-    common = {r[0] for r in words.select(F.lower("word")).where("word is not null").distinct().limit(100_000).collect()}
+    common = {r[0] for r in words.select(F.lower("word")).where("word is not null").distinct().limit(MOST_WORDS).collect()}
     letters = fit_letters(docs)
     blocks_ = written(block_table(docs, common, letters, least_chars), "blocks")
     model = fit_mixture(blocks_, common, letters, rounds)
@@ -370,18 +372,17 @@ def statistics(docs: DataFrame, words: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     ws = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"[\s ]", "") != "")
-    n, solid = F.size("ws"), F.length(F.regexp_replace(text, r"[\s ]", ""))
-    common = F.array_agg(F.lower("word"))
-    table = small(words.where("word is not null").select(F.lower("word").alias("word")).distinct().limit(100_000).agg(common.alias("common")))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"[\s\x{a0}]", "") != "")
+    n, solid = F.size("ws"), F.length(F.regexp_replace(text, r"[\s\x{a0}]", ""))
+    common = [r[0] for r in words.where("word is not null").select(F.lower("word")).distinct().limit(MOST_WORDS).collect()]
     return (
-        docs.select("id", "text").distinct().crossJoin(F.broadcast(table))  # one row
-        .select("id", ws.alias("ws"), lines.alias("lines"), solid.alias("solid"), F.length(F.regexp_replace(text, r"[\s \p{L}\p{N}]", "")).alias("symbols"), "common")
+        docs.select("id", "text").distinct()
+        .select("id", ws.alias("ws"), lines.alias("lines"), solid.alias("solid"), F.length(F.regexp_replace(text, r"[\s\x{a0}\p{L}\p{N}]", "")).alias("symbols"))
         .select(
             "id", n.cast("long").alias("words"),
             F.round(F.aggregate("ws", F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(n, F.lit(0)), 6).alias("mean_word_length"),
             F.round(F.col("symbols") / F.nullif(F.col("solid"), F.lit(0)), 6).alias("symbol_share"),
-            F.round(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…][\s ]*$"))) / F.nullif(F.size("lines"), F.lit(0)), 6).alias("punctuated_lines"),
-            F.round(F.size(F.filter("ws", lambda x: F.array_contains("common", x))) / F.nullif(n, F.lit(0)), 6).alias("common_share"),
+            F.round(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…][\s\x{a0}]*$"))) / F.nullif(F.size("lines"), F.lit(0)), 6).alias("punctuated_lines"),
+            F.round(F.size(F.filter("ws", lambda x: x.isin(common) if common else F.lit(False))) / F.nullif(n, F.lit(0)), 6).alias("common_share"),
         )
     )
