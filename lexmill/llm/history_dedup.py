@@ -17,7 +17,7 @@ TRACKING = {"source", "ref", "sk", "from"}
 LEAST_WORDS = 20
 #: Words a paragraph must have to be a key; texts that share it are compared directly, up to HOT of them.
 PARAGRAPH_WORDS, HOT = 4, 32
-#: Symbols of a signature; the first 32 form 16 bands, which take the place of paragraphs that more than HOT texts share.
+#: Symbols of a signature; the first 32 form 16 bands, which are keys of every text, however many share them.
 SYMBOLS, BANDS, BAND_WIDTH = 48, 16, 2
 #: Four bits of each symbol are kept. Texts of similarity 0.5 differ in 48 of the 192 bits on average, with a deviation of 8.5;
 #: a candidate pair that differs in more than MOST_BITS isn't compared: 1 in 4,000 at 0.5, 1 in 10^5 at 0.55.
@@ -63,7 +63,7 @@ def _pages(batches):
 
 
 def _features(batches):
-    """(id, class, keys, bands, bits) of texts with enough words. keys: hashes of paragraphs, bands: hashes of pairs of symbols."""
+    """(id, class, keys, bits) of texts with enough words. keys: even hashes of paragraphs and odd ones of bands (pairs of symbols)."""
     import pyarrow as pa
     import xxhash
 
@@ -98,7 +98,7 @@ def _features(batches):
             place = np.arange(len(real)) - np.repeat(first, length)
             keys = mix(np.add.reduceat(mix(real + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
             keep = length >= PARAGRAPH_WORDS
-            keys, key_doc = keys[keep], real_doc[first][keep]
+            keys, key_doc = keys[keep] & ~np.uint64(1), real_doc[first][keep]
             t, t_doc = triple_hashes(real, np.searchsorted(real_doc, np.arange(n + 1)))
             t_first = np.searchsorted(t_doc, np.arange(n))
             least = np.empty((n, SYMBOLS), np.uint64)
@@ -108,14 +108,16 @@ def _features(batches):
             own = mix(least)
             bands = mix(own[:, 0 : 2 * BANDS : 2] + least[:, 1 : 2 * BANDS : 2] + np.arange(BANDS, dtype=np.uint64))
             bits = np.bitwise_or.reduce(((own & np.uint64(15)).reshape(n, 3, 16)) << shift, axis=2)
+            keys, key_doc = np.concatenate([keys, bands.ravel() | np.uint64(1)]), np.concatenate([key_doc, np.repeat(np.arange(n), BANDS)])
+            order = np.argsort(key_doc, kind="stable")
+            keys, key_doc = keys[order], key_doc[order]
             offsets = np.searchsorted(key_doc, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 3), pa.array(bits.ravel().view(np.int64))),
                 ],
-                ["id", "class", "keys", "bands", "bits"],
+                ["id", "class", "keys", "bits"],
             )
 
 
@@ -125,7 +127,7 @@ def _first(c: str) -> Column:
 
 
 class AcceptedHistory:
-    """What is kept of all accepted items: page addresses, text classes, paragraph hashes, signatures; never the texts.
+    """What is kept of all accepted items: page addresses, text classes, hashes of paragraphs and bands (both in ``paragraphs``), signatures; never the texts.
 
     The tables are bucketed by what they are joined on, so a new run is shuffled to the buckets, and the history is
     neither shuffled nor hashed anew. They lie below the shared folder (or ``path``) and grow by appending.
@@ -133,7 +135,7 @@ class AcceptedHistory:
 
     COLUMNS = {
         "pages": "page long, ord long, item_id long", "classes": "class string, head long, ord long, item_id long",
-        "paragraphs": "key long, head long", "sketches": "head long, bands array<long>, bits array<long>",
+        "paragraphs": "key long, head long", "sketches": "head long, bits array<long>",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
@@ -168,7 +170,7 @@ class AcceptedHistory:
         items = hold(items.mapInArrow(_pages, "item_id long, ord long, document_id long, page long"), "items")
         wanted = small(hold(items.where("document_id is not null").select(F.col("document_id").alias("id")).distinct(), "wanted"))
         texts = texts.select("id", "text")
-        feats = hold(texts.join(wanted, "id", "left_semi").mapInArrow(_features, "id long, class string, keys array<long>, bands array<long>, bits array<long>"), "features")
+        feats = hold(texts.join(wanted, "id", "left_semi").mapInArrow(_features, "id long, class string, keys array<long>, bits array<long>"), "features")
 
         one = feats.groupBy("id").agg(F.min("class").alias("class"))
         heads = one.groupBy("class").agg(F.min("id").alias("new_head"))
@@ -180,7 +182,7 @@ class AcceptedHistory:
         heads = hold(one.join(heads, "class"), "heads")
         fresh = small(hold(heads.where("new and id = head").select("id", "class"), "fresh"))
         rows = feats.join(fresh, ["id", "class"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "head")
-        rows = hold(rows.select("head", "keys", "bands", "bits"), "rows")
+        rows = hold(rows.select("head", "keys", "bits"), "rows")
         links = self._links(rows, texts, threshold, hold)
         both = small(hold(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links"))
 
@@ -218,31 +220,29 @@ class AcceptedHistory:
         names = heads.groupBy("head").agg(F.min("class").alias("class"))
         kept = rows.join(small(firsts.select("head")), "head", "left_semi")
         self._append("paragraphs", kept.select(F.explode(F.array_distinct("keys")).alias("key"), "head"))
-        self._append("sketches", kept.select("head", "bands", "bits"))
+        self._append("sketches", kept.select("head", "bits"))
         self._append("classes", firsts.join(names, "head").select("class", "head", "x.ord", "x.item_id"))
         self.started = True
         hold.discard()
         return cases
 
     def _links(self, rows: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
-        """Links (a, b) of similar texts, of which at least one is new, by shared paragraphs.
+        """Links (a, b) of similar texts, of which at least one is new, by shared paragraphs and bands.
 
-        A paragraph in more than HOT texts is no key of its own; all texts that have one meet by the bands of
-        their signatures instead, which split such a group by content. Pairs whose signatures differ too much are
-        left out before texts are compared.
+        All texts, new and stored, meet by the bands of their signatures, so that no pair hangs on an unedited paragraph.
+        A paragraph in more than HOT texts is no key beside them. Pairs whose signatures differ too much are left out
+        before texts are compared.
         """
         pool = rows.select(F.explode(F.array_distinct("keys")).alias("key"), "head", F.lit(True).alias("new"))
-        sketches = rows.select("head", "bands", "bits", F.lit(True).alias("new"))
+        sketches = rows.select("head", "bits")
         if self.started:
             asked = pool.select("key").repartition(self.buckets, "key").distinct()  # to the history's buckets, which stay where they are
             pool = pool.union(self._table("paragraphs").join(asked, "key", "left_semi").select("key", "head", F.lit(False)))
-            sketches = sketches.union(self._table("sketches").select("head", "bands", "bits", F.lit(False)))
-        count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").select("key", (F.col("n") > HOT).alias("hot"))
-        shared = hold(pool.join(count, "key").select("key", "head", "new", "hot"), "shared")
-        hot = small(hold(shared.where("hot").select("head").distinct(), "hot"))
-        banded = sketches.join(hot, "head", "left_semi").select(F.explode("bands").alias("key"), "head", "new")
-        usable = shared.where("not hot").select("key", "head", "new").union(banded)
-        usable = hold(usable.join(sketches.select("head", "bits"), "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(3))), "usable")
+            sketches = sketches.union(self._table("sketches").select("head", "bits"))
+        band = F.col("key").bitwiseAND(F.lit(1)) == 1
+        count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").where(band | (F.col("n") <= HOT))
+        usable = pool.join(count.select("key"), "key", "left_semi")
+        usable = hold(usable.join(sketches, "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(3))), "usable")
         a = usable.where("new").select("key", F.col("head").alias("p"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(3)))
         differing = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 3)), F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))))
         pairs = a.join(usable, "key").where(F.expr("p != head and (p < head or not new)") & (differing <= MOST_BITS))

@@ -161,6 +161,25 @@ def test_p1_hot_paragraph(spark, monkeypatch):
     assert got == greedy(items, rows) and len(got) == 20
 
 
+def test_p1_no_common_paragraph(spark):
+    """Copies with one word changed in each sentence: no paragraph is left as it was, within a run or between two."""
+    ids, rng = history_dedup.WordIds(), random.Random(21)
+    vocab = [w for w in (a + b for a in VOCAB for b in VOCAB[:6]) if (ids[w] >> 8) % 16]  # without words that cut a paragraph
+    rows = {}
+    for i in range(40):
+        words = [rng.choices(vocab, k=12) for _ in range(6)]
+        other = [[*w[:5], rng.choice(vocab), *w[6:]] for w in words]
+        rows[i], rows[100 + i] = (" ".join(" ".join(w) + "." for w in x) for x in (words, other))
+    texts = spark.createDataFrame(list(rows.items()), "id long, text string")
+    shape = "item_id long, ord long, document_id long, url string"
+    for parts in ([sorted(rows)], [range(40), range(100, 140)]):
+        history, got = history_dedup.AcceptedHistory(spark, buckets=4), {}
+        for part in parts:
+            cases = history.admit(spark.createDataFrame([(i, i, i, None) for i in part], shape), texts)
+            got |= {r.item_id: r.accepted_id for r in cases.collect()}
+        assert got == greedy([((0, i), i, None, i) for i in rows], rows) and len(got) == 40
+
+
 def test_p2_equals_brute_force(spark):
     rng = random.Random(3)
     rows = []
