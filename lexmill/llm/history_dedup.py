@@ -17,11 +17,13 @@ TRACKING = {"source", "ref", "sk", "from"}
 LEAST_WORDS = 20
 #: Words a paragraph must have to be a key; texts that share it are compared directly, up to HOT of them.
 PARAGRAPH_WORDS, HOT = 4, 32
-#: Symbols of a signature; the first 32 form 16 bands, which are keys of every text, however many share them.
-SYMBOLS, BANDS, BAND_WIDTH = 48, 16, 2
-#: Four bits of each symbol are kept. Texts of similarity 0.5 differ in 48 of the 192 bits on average, with a deviation of 8.5;
-#: a candidate pair that differs in more than MOST_BITS isn't compared: 1 in 4,000 at 0.5, 1 in 10^5 at 0.55.
-MOST_BITS = 78
+#: Symbols of a signature; they form 32 bands, which are keys of every text, however many share them. A pair of similarity s
+#: shares no band with a chance of (1 - s^2)^32: 1 in 9,900 at 0.5, 1 in 10^5 at 0.55.
+SYMBOLS, BANDS, BAND_WIDTH = 64, 32, 2
+#: Four bits of each symbol are kept. Texts of similarity 0.5 differ in 64 of the 256 bits on average, with a deviation of 9.8;
+#: a candidate pair that differs in more than MOST_BITS isn't compared: 1 in 11,000 at 0.5, 1 in 170,000 at 0.55. With the bands'
+#: share at most 1 pair in 5,200 is lost at 0.5 and 1 in 63,000 at 0.55, whatever paragraphs it has.
+MOST_BITS = 102
 _KEEP = re.compile(r"%([0-9A-Fa-f]{2})")
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
@@ -107,7 +109,7 @@ def _features(batches):
                 least[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), t_first)
             own = mix(least)
             bands = mix(own[:, 0 : 2 * BANDS : 2] + least[:, 1 : 2 * BANDS : 2] + np.arange(BANDS, dtype=np.uint64))
-            bits = np.bitwise_or.reduce(((own & np.uint64(15)).reshape(n, 3, 16)) << shift, axis=2)
+            bits = np.bitwise_or.reduce(((own & np.uint64(15)).reshape(n, SYMBOLS // 16, 16)) << shift, axis=2)
             keys, key_doc = np.concatenate([keys, bands.ravel() | np.uint64(1)]), np.concatenate([key_doc, np.repeat(np.arange(n), BANDS)])
             order = np.argsort(key_doc, kind="stable")
             keys, key_doc = keys[order], key_doc[order]
@@ -115,7 +117,7 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 3), pa.array(bits.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SYMBOLS // 16)), pa.array(bits.ravel().view(np.int64))),
                 ],
                 ["id", "class", "keys", "bits"],
             )
@@ -242,9 +244,9 @@ class AcceptedHistory:
         band = F.col("key").bitwiseAND(F.lit(1)) == 1
         count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").where(band | (F.col("n") <= HOT))
         usable = pool.join(count.select("key"), "key", "left_semi")
-        usable = hold(usable.join(sketches, "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(3))), "usable")
-        a = usable.where("new").select("key", F.col("head").alias("p"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(3)))
-        differing = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 3)), F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))))
+        usable = hold(usable.join(sketches, "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(SYMBOLS // 16))), "usable")
+        a = usable.where("new").select("key", F.col("head").alias("p"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(SYMBOLS // 16)))
+        differing = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SYMBOLS // 16)), F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))))
         pairs = a.join(usable, "key").where(F.expr("p != head and (p < head or not new)") & (differing <= MOST_BITS))
         pairs = pairs.select(F.least("p", "head").alias("a"), F.greatest("p", "head").alias("b")).distinct()
         return verified_pairs(hold(pairs, "pairs"), texts, threshold, hold)

@@ -180,6 +180,24 @@ def test_p1_no_common_paragraph(spark):
         assert got == greedy([((0, i), i, None, i) for i in rows], rows) and len(got) == 40
 
 
+def test_p1_hot_paragraph_at_the_threshold(spark):
+    """Pairs of similarity 0.5 to 0.54 that share hot paragraphs only: 16 bands lost about 1 in 100 of them."""
+    ids, rng = history_dedup.WordIds(), random.Random(22)
+    vocab = [w for w in (a + b for a in VOCAB for b in VOCAB) if (ids[w] >> 8) % 16]
+    hot, rows, pairs = " ".join(vocab[:30]) + ". ", {}, {}
+    while len(pairs) < 700:
+        words = [rng.choices(vocab, k=9) for _ in range(8)]
+        other = [[*w[:4], rng.choice(vocab), *w[5:]] if k else w[::-1] for k, w in enumerate(words)]
+        a, b = (hot + " ".join(" ".join(w) + "." for w in x) for x in (words, other))
+        if 0.5 <= similarity(a, b) < 0.54:
+            i = len(pairs)
+            rows[i], rows[1000 + i], pairs[1000 + i] = a, b, i
+    texts = spark.createDataFrame(list(rows.items()), "id long, text string")
+    items = spark.createDataFrame([(i, i, i, None) for i in rows], "item_id long, ord long, document_id long, url string")
+    got = {r.item_id: r.accepted_id for r in history_dedup.AcceptedHistory(spark, buckets=4).admit(items, texts).collect()}
+    assert got == pairs
+
+
 def test_p2_equals_brute_force(spark):
     rng = random.Random(3)
     rows = []
