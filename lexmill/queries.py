@@ -313,7 +313,7 @@ def crawl_bfs_pages(spark, sf_dir):
 
 def crawl_capped(spark, sf_dir):
     items = _table(spark, sf_dir, "crawl_items").distinct()
-    return crawl.capped(items, _table(spark, sf_dir, "crawl_runs").select("job_id", F.least("max_articles", F.lit(100)).alias("max_articles")))
+    return crawl.capped(items, _table(spark, sf_dir, "crawl_runs").select("job_id", "max_articles"))
 
 
 def _outcomes(spark, sf_dir):

@@ -290,3 +290,13 @@ def test_every_query_has_docs_or_sql():
     from lexmill import oracle, queries
 
     assert set(oracle.oracle_sql()) <= set(queries.queries())
+
+
+def test_capped_by_the_runs_own_limits(spark, tmp_path):
+    from lexmill import queries
+
+    rows = [(1000 * j + i, f"r{j}", i, f"https://a.example/{i}") for j in range(2) for i in range(130)]
+    spark.createDataFrame(rows, "id long, job_id string, position long, canonical_url string").write.parquet(f"{tmp_path}/crawl_items.parquet")
+    spark.createDataFrame([("r0", 120), ("r1", 3)], "job_id string, max_articles long").write.parquet(f"{tmp_path}/crawl_runs.parquet")
+    got = {(r.job_id, r.n) for r in queries.crawl_capped(spark, str(tmp_path)).collect()}
+    assert got == {("r0", n + 1) for n in range(120)} | {("r1", n + 1) for n in range(3)}
