@@ -56,16 +56,16 @@ def discover(
     return spark.createDataFrame(known, "title string, depth long, number long"), pages
 
 
-def checkpoint(found: DataFrame, existing: DataFrame, key: str, most: int, order: list[str]) -> DataFrame:
-    """Of the items found in a step those that are new to the run, at most ``most`` with the existing ones, with their positions.
+def checkpoint(found: DataFrame, existing: DataFrame, key: str, most: int | None, order: list[str]) -> DataFrame:
+    """Of the items found in a step those that are new to the run, at most ``most`` with the existing ones (None: all), with their positions.
 
     found: key and order columns; existing: key, position. Items known already, repeated ones and null keys are left out; positions go on
     behind the greatest there is.
     """
     new = first_wins(found, key, order).join(existing.select(key).distinct(), key, "left_anti")
     stats = existing.agg(F.count_distinct(key).alias("n"), F.coalesce(F.max("position") + 1, F.lit(0)).alias("next")).first()
-    top = new.orderBy(*order, key).limit(max(0, most - stats["n"]))
-    number = F.row_number().over(Window.orderBy(*order, key)) - 1  # over at most ``most`` rows
+    top = new if most is None else new.orderBy(*order, key).limit(max(0, most - stats["n"]))
+    number = F.row_number().over(Window.orderBy(*order, key)) - 1  # over at most ``most`` rows; without a limit over all new ones
     return top.withColumn("position", (F.lit(stats["next"]) + number).cast("long"))
 
 

@@ -355,7 +355,7 @@ def crawl_checkpoint(spark, sf_dir):
     """The items of all runs as one step's findings, against the addresses that documents already have."""
     found = _table(spark, sf_dir, "crawl_items").select("canonical_url", "job_id", F.col("position").alias("at"), "id")
     have = _table(spark, sf_dir, "document_responses").where("url is not null").select(F.col("url").alias("canonical_url"), F.col("id").alias("position")).distinct()
-    return crawl.checkpoint(found, have, "canonical_url", 1_000_000, ["job_id", "at", "id"]).select("canonical_url", "id", "position")
+    return crawl.checkpoint(found, have, "canonical_url", None, ["job_id", "at", "id"]).select("canonical_url", "id", "position")
 
 
 def job_progress(spark, sf_dir):

@@ -300,3 +300,10 @@ def test_capped_by_the_runs_own_limits(spark, tmp_path):
     spark.createDataFrame([("r0", 120), ("r1", 3)], "job_id string, max_articles long").write.parquet(f"{tmp_path}/crawl_runs.parquet")
     got = {(r.job_id, r.n) for r in queries.crawl_capped(spark, str(tmp_path)).collect()}
     assert got == {("r0", n + 1) for n in range(120)} | {("r1", n + 1) for n in range(3)}
+
+
+def test_checkpoint_without_limit(spark):
+    found = spark.createDataFrame([(f"u{i}", i) for i in range(50)], "url string, at long")
+    known = spark.createDataFrame([("u0", 7)], "url string, position long")
+    got = {r.url: r.position for r in crawl.checkpoint(found, known, "url", None, ["at"]).collect()}
+    assert got == {f"u{i}": 7 + i for i in range(1, 50)}
