@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
+import re
+from typing import NamedTuple
+from urllib.parse import quote, quote_plus, unquote_plus, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,25 +12,53 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: Query parameters that only track, by kind of source; all that begin with utm_ are dropped as well (fixed values).
-TRACKING = {"medium": {"source", "ref", "sk", "from"}, "rss": {"source", "ref", "from", "feed"}}
-SCHEMES = {"medium": {"http", "https"}, "rss": {"https"}}
+#: Query parameters that only track, by kind of source, whatever their case (fixed values).
+TRACKING = {"medium": re.compile(r"utm_.*|source|ref|sk|from", re.I | re.S), "rss": re.compile(r"utm_.*|source|ref|from|feed", re.I | re.S)}
+SCHEMES = {"medium": ("http", "https"), "rss": ("https",)}
+
+
+class Address(NamedTuple):
+    """The parts of an absolute address. private: it carries a user name or password."""
+
+    scheme: str
+    host: str
+    port: int | None
+    path: str
+    query: str
+    fragment: str
+    private: bool
+
+    @classmethod
+    def read(cls, text: str | None, base: str | None = None) -> Address | None:
+        """None where a text has no scheme and host, or a port that isn't one."""
+        try:
+            split = urlsplit(urljoin(base or "", (text or "").strip()))
+            if split.scheme and split.hostname:
+                return cls(split.scheme.lower(), split.hostname.casefold(), split.port, split.path, split.query, split.fragment, bool(split.username or split.password))
+        except ValueError:
+            pass
+        return None
+
+    @property
+    def origin(self) -> str:
+        return f"{self.scheme}://{self.host}" if self.port is None else f"{self.scheme}://{self.host}:{self.port}"
+
+    def parameters(self, but: re.Pattern) -> list[str]:
+        """The query's parameters, each escaped in one way, without those whose name is ``but``; one without = has an empty value."""
+        out = []
+        for piece in filter(None, self.query.split("&")):
+            name, _, value = (unquote_plus(x) for x in piece.partition("="))
+            if not but.fullmatch(name):
+                out.append(quote_plus(name) + "=" + quote_plus(value))
+        return out
 
 
 def canonical_url(url: str | None, kind: str, base: str | None = None) -> str | None:
     """A page's address without tracking and fragment, scheme and host in lower case; null where it isn't one of this kind of source."""
-    if url is None:
+    found = Address.read(url, base)
+    if found is None or found.scheme not in SCHEMES[kind]:
         return None
-    try:
-        parts = urlsplit(urljoin(base, url.strip()) if base else url.strip())
-        host, port = parts.hostname, parts.port
-    except ValueError:
-        return None
-    scheme = parts.scheme.lower()
-    if scheme not in SCHEMES[kind] or not host:
-        return None
-    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.casefold() not in TRACKING[kind] and not k.casefold().startswith("utm_")]
-    return urlunsplit((scheme, host.casefold() + ("" if port is None else f":{port}"), parts.path or "/", urlencode(kept), ""))
+    return "?".join(filter(None, [found.origin + (found.path or "/"), "&".join(found.parameters(TRACKING[kind]))]))
 
 
 def canonical_urls(url: Column, kind: str, base: Column | None = None) -> Column:
@@ -71,35 +101,33 @@ def category_title(c: Column) -> Column:
 
 def medium_seed(url: str) -> dict[str, str]:
     """Checked address of a publication: https, no credentials, query or fragment; on the main host one section, on a subdomain at most one."""
-    parts = urlsplit(url.strip())
-    host = (parts.hostname or "").casefold()
-    path = [p for p in parts.path.rstrip("/").split("/") if p]
-    main = host == "medium.com"
-    ok = parts.scheme.lower() == "https" and (main or host.endswith(".medium.com")) and not (parts.username or parts.password or parts.query or parts.fragment)
-    ok = ok and (len(path) == 1 and path[0] != "p" if main else len(path) <= 1) and not (path and path[0].startswith("@"))
-    if not ok:
+    a = Address.read(url)
+    if a is None or a.scheme != "https" or a.private or a.query or a.fragment or not f".{a.host}".endswith(".medium.com"):
+        raise ValueError("medium_invalid_seed")
+    main = a.host == "medium.com"
+    section = re.fullmatch(r"/*(?!@)([^/]+)/*" if main else r"/*(?:(?!@)([^/]+)/*)?", a.path)
+    if section is None or main and section[1] == "p":
         raise ValueError("medium_invalid_seed")
-    section = "/" + path[0] if path else "/"
-    origin = f"https://{host}"
-    feed = f"{origin}/feed{section}" if main else f"{origin}/feed"
-    return {"url": origin + section, "origin": origin, "path": section, "feed": feed, "sitemap": origin + "/sitemap.xml"}
+    path, origin = "/" + (section[1] or ""), f"https://{a.host}"
+    return {"url": origin + path, "origin": origin, "path": path, "feed": f"{origin}/feed{path if main else ''}", "sitemap": f"{origin}/sitemap.xml"}
 
 
 def rss_seed(url: str) -> dict[str, str]:
     """Checked address of a feed: https and no credentials; its query is kept."""
-    parts = urlsplit(url.strip())
-    if parts.scheme.lower() != "https" or not parts.hostname or parts.username or parts.password:
+    a = Address.read(url)
+    if a is None or a.scheme != "https" or a.private:
         raise ValueError("rss_invalid_seed")
-    origin = "https://" + parts.hostname.casefold() + ("" if parts.port is None else f":{parts.port}")
-    return {"url": urlunsplit(("https", origin[8:], parts.path or "/", parts.query, "")), "origin": origin, "path": parts.path or "/"}
+    path = a.path or "/"
+    return {"url": "?".join(filter(None, [a.origin + path, a.query])), "origin": a.origin, "path": path}
 
 
-def in_publication(url: Column, origin: str, path: str) -> Column:
+def in_publication(url: Column, origin: Column | str, path: Column | str) -> Column:
     """Whether an address belongs to a publication: same https host, and on the main host below its section."""
+    origin, path = (F.lit(x) if isinstance(x, str) else x for x in (origin, path))
     host = F.lower(F.regexp_extract(url, r"^https://([^/:?#]*)", 1))
     where = F.regexp_extract(url, r"^https://[^/?#]*([^?#]*)", 1)
-    rest = F.startswith(where, F.lit(path + "/")) if origin == "https://medium.com" else ~where.isin("/feed", "/sitemap.xml", "/robots.txt")
-    return F.coalesce((host == origin[8:]) & rest, F.lit(False))
+    rest = F.when(origin == "https://medium.com", F.startswith(where, F.concat(path, F.lit("/")))).otherwise(~where.isin("/feed", "/sitemap.xml", "/robots.txt"))
+    return F.coalesce((F.concat(F.lit("https://"), host) == origin) & (host != "") & rest, F.lit(False))
 
 
 def same_origin(url: Column, origin: Column) -> Column:

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import local_table
 from ..sources.feeds import first_wins
+from .numbering import numbered
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """categories (title, depth, number, status, error), pages, and one row of flags.
+
+    status: completed (all members taken), failed (an answer of it is missing; the first error says why), or pending (discovery ended before all
+    its members were taken: what a later run goes on with). flags: complete (ended, and nothing failed), article_limit_reached,
+    category_limit_reached.
+    """
+
+    categories: DataFrame
+    pages: DataFrame
+    flags: DataFrame
 
 
 def discover(
     links: DataFrame, root: str, max_depth: int = 2, max_pages: int = 500, max_categories: int = 200
 ) -> tuple[DataFrame, DataFrame]:
+    """Categories (title, depth, number) and pages (position, page_id, title) reached from ``root``; see ``discovered``."""
+    found = discovered(links, root, max_depth, max_pages, max_categories)
+    return found.categories.select("title", "depth", "number"), found.pages
+
+
+def discovered(
+    links: DataFrame, root: str, max_depth: int = 2, max_pages: int = 500, max_categories: int = 200, errors: DataFrame | None = None
+) -> Discovery:
     """Categories (title, depth, number) and pages (position, page_id, title) reached from ``root``, breadth first.
 
     links: parent, kind (category or page), position, page_id, title. A level's categories are visited in order of discovery, their members by
     position. Categories count once by title, the root included, pages once by id; categories beyond the limit are left out
     while pages are still taken, and pages beyond theirs end discovery: categories seen behind the last page aren't added. Links to pages with null ids and
-    to null titles are ignored. Each level is one join of the links with a frontier of at most ``max_categories`` rows; there are
+    to null titles are ignored. ``errors`` (parent, number, error): answers that are missing. Each level is one join of the links with a frontier of at most ``max_categories`` rows; there are
     at most ``max_depth`` + 1 levels.
     """
     if max_depth < 0 or max_pages < 1 or max_categories < 1:
@@ -27,7 +53,7 @@ def discover(
     known: list[tuple[str, int, int]] = [(root, 0, 0)]
     level = known
     pages = None
-    taken = 0
+    taken, crowded, last = 0, False, None
     for depth in range(max_depth + 1):
         frontier = F.broadcast(spark.createDataFrame([(t, n) for t, _, n in level], "parent string, number long"))  # at most max_categories rows
         here = leaves.join(frontier, "parent").select("number", "position", "page_id", "title")
@@ -48,12 +74,27 @@ def discover(
             below = below.where(F.col("number") < last)  # a category at whose pages the limit is met adds nothing
         titles = F.broadcast(spark.createDataFrame([(t,) for t, _, _ in known], "title string"))
         fresh = first_wins(below.select("number", "position", "title"), "title", ["number", "position"]).join(titles, "title", "left_anti")
-        found = fresh.orderBy("number", "position", "title").limit(max_categories - len(known)).collect()  # at most max_categories
-        level = [(r["title"], depth + 1, len(known) + i) for i, r in enumerate(found)]
+        found = fresh.orderBy("number", "position", "title").limit(max_categories - len(known) + 1).collect()  # at most max_categories + 1
+        room = max_categories - len(known)
+        crowded = crowded or len(found) > room
+        level = [(r["title"], depth + 1, len(known) + i) for i, r in enumerate(found[:room])]
         known += level
         if full or not level:
             break
-    return spark.createDataFrame(known, "title string, depth long, number long"), pages
+    # members of the category at whose pages the limit was met may be left, and later ones weren't read
+    ended = taken >= max_pages
+    cut = last if last is not None else len(known)
+    failed = {r["parent"]: r["error"] for r in _first_errors(errors, known).collect()} if errors is not None else {}  # at most max_categories rows
+    rows = [(t, d, n, "failed" if t in failed else "pending" if ended and n >= cut else "completed", failed.get(t)) for t, d, n in known]
+    return Discovery(
+        local_table(spark, rows, "title string, depth long, number long, status string, error string"), pages,
+        local_table(spark, [(not failed, ended, crowded)], "complete boolean, article_limit_reached boolean, category_limit_reached boolean"),
+    )
+
+
+def _first_errors(errors: DataFrame, known: list[tuple[str, int, int]]) -> DataFrame:
+    titles = F.broadcast(local_table(errors.sparkSession, [(t,) for t, _, _ in known], "parent string"))  # at most max_categories rows
+    return errors.join(titles, "parent").groupBy("parent").agg(F.min_by("error", "number").alias("error"))
 
 
 def checkpoint(found: DataFrame, existing: DataFrame, key: str, most: int | None, order: list[str]) -> DataFrame:
@@ -65,8 +106,7 @@ def checkpoint(found: DataFrame, existing: DataFrame, key: str, most: int | None
     new = first_wins(found, key, order).join(existing.select(key).distinct(), key, "left_anti")
     stats = existing.agg(F.count_distinct(key).alias("n"), F.coalesce(F.max("position") + 1, F.lit(0)).alias("next")).first()
     top = new if most is None else new.orderBy(*order, key).limit(max(0, most - stats["n"]))
-    number = F.row_number().over(Window.orderBy(*order, key)) - 1  # over at most ``most`` rows; without a limit over all new ones
-    return top.withColumn("position", (F.lit(stats["next"]) + number).cast("long"))
+    return numbered(top, [*order, key], stats["next"], "position")
 
 
 def next_positions(items: DataFrame, by: str = "job_id") -> DataFrame:
@@ -115,6 +155,16 @@ def has_pending(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("job_id").agg(F.max(F.col("status") == "pending").alias("has_pending"))
 
 
+def frontier_at(frontier: DataFrame, job_id: str, locator: str) -> DataFrame:
+    """The entry of a run with a locator; both conditions reach the scan."""
+    return frontier.where((F.col("job_id") == job_id) & (F.col("locator") == locator))
+
+
+def located(frontier: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entries of (job_id, locator) pairs ``asked``, each pair once: one join for any number of lookups; nulls meet nothing."""
+    return frontier.join(asked.select("job_id", "locator").distinct(), ["job_id", "locator"], "left_semi")
+
+
 def next_frontier(frontier: DataFrame) -> DataFrame:
     """The pending entry of each run that comes next: least depth, then id."""
     return frontier.where("status = 'pending'").groupBy("job_id").agg(F.min(F.struct("depth", "id")).alias("x")).select("job_id", "x.depth", "x.id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def query_metrics(hits: DataFrame, queries: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     """(qid, ranking, precision, recall, reciprocal_rank) of each query (qid, ranking).
@@ -33,7 +35,28 @@ def summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def order_statistics(samples: DataFrame, value: str, ranks: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """For each group (columns ``by``) the values at given ranks; ``ranks`` are expressions of ``n``, the number of values that aren't null.
+
+    Exact and without any group in one task: equal values are counted before the shuffle, the counts are cut by range and written once,
+    running counts are summed within a range and offset by the totals of earlier ranges (a row for each task and group). Groups
+    without values have nulls.
+    """
+    by = by or []
+    keys = [F.struct(*by, F.lit(0)).alias("g")]
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    kept = written(counted.repartitionByRange("g", "v").sortWithinPartitions("g", "v").withColumn("part", F.spark_partition_id()), "ordered")
+    totals = kept.groupBy("g", "part").agg(F.sum("c").alias("t"))
+    earlier = totals.select("g", "part", (F.sum("t").over(Window.partitionBy("g").orderBy("part")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy("g")).alias("n"))
+    running = kept.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "part").orderBy("v"))).join(F.broadcast(earlier), ["g", "part"])
+    last = F.col("before") + F.col("upto")
+    picked = running.groupBy("g").agg(*(F.max(F.when((last - F.col("c") < r) & (r <= last), F.col("v"))).alias(name) for name, r in ranks.items()))
+    groups = samples.groupBy(*keys).agg(F.max(value).alias("max"))
+    return groups.join(picked, "g", "left").select(*(F.col("g")[c].alias(c) for c in by), *ranks, "max")
+
+
 def latencies(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Median (between the middle two), nearest-rank 95th percentile and maximum of a column; nulls don't count."""
-    v = F.col(value)
-    return samples.groupBy(*(by or [])).agg(F.median(v).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"), F.max(v).alias("max"))
+    n = F.col("n")
+    found = order_statistics(samples, value, {"low": F.floor((n + 1) / 2), "high": F.floor((n + 2) / 2), "p95": F.floor((n * 95 + 99) / 100)}, by)
+    return found.select(*(by or []), ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "max")

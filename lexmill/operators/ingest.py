@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .numbering import numbered
 
 MOST_ITEMS = 500
 #: Messages of the checks (fixed values).
@@ -71,10 +72,12 @@ def classified(items: DataFrame, documents: DataFrame, order: list[str], url_col
 
     A valid item with an address that any document (deleted ones too) already has, or that an earlier valid item has, is skipped; null addresses never
     collide. The first item of an address is found by a partial minimum before the shuffle, so one address may hold any share of the rows.
+    Of ``documents`` only the addresses are read, and only those that items have go on: where the items are few, these are broadcast by
+    their size at run time, and the history isn't shuffled.
     """
     valid = F.col("error").isNull() & F.col(url_col).isNotNull()
     first = items.where(valid).groupBy(url_col).agg(F.min(F.struct(*order)).alias("first"))
-    known = documents.where(F.col("url").isNotNull()).select(F.col("url").alias(url_col)).distinct().withColumn("known", F.lit(True))
+    known = documents.select(F.col("url").alias(url_col)).join(first.select(url_col), url_col, "left_semi").distinct().withColumn("known", F.lit(True))
     rows = items.join(first, url_col, "left").join(known, url_col, "left")
     again = F.coalesce(F.col("known") | (F.struct(*order) != F.col("first")), F.lit(False)) & valid
     return rows.select(
@@ -96,18 +99,10 @@ def progress(current: Column, total: Column) -> Column:
 
 
 def imported_documents(items: DataFrame, documents: DataFrame, order: list[str]) -> DataFrame:
-    """The imported items as documents, with ids above those of ``documents``.
+    """The imported items as documents, with successive ids above those of ``documents`` in the order of items.
 
-    Ids follow the order of items: ranges are cut by order, each task numbers its own, and only the tasks' counts meet.
+    The rows are written once, by ranges of the order, and numbered from what was written; see ``numbered``.
     """
-    good = items.where("status = 'imported'").select(*order, "title", "content", "url").repartitionByRange(*order).sortWithinPartitions(*order)
+    good = items.where("status = 'imported'").select(*order, "title", "content", "url")
     base = documents.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    parted = good.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
-    return (
-        parted.join(F.broadcast(before), "part")
-        .select((base + F.col("before") + F.col("at") + 1).alias("id"), "title", "content", "url", F.lit("active").alias("status"))
-    )
+    return numbered(good, order, base + 1, "id").select("id", "title", "content", "url", F.lit("active").alias("status"))

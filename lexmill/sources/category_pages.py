@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email.utils
+import itertools
 import json
 import random
 import time
@@ -15,20 +16,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LINKS = "parent string, kind string, position long, page_id long, title string, error string"
+#: Error of an answer that isn't of the service's form (fixed value).
+INVALID = "wikipedia_invalid_response"
 RETRY, MOST_REDIRECTS, PAGE_SIZE = {408, 429, 500, 502, 503, 504}, 5, 50
 
 
+def _read(answers: DataFrame) -> DataFrame:
+    """(parent, number, m, bad) of answers: their members, and what is wrong with them."""
+    shape = "struct<query: struct<categorymembers: array<struct<pageid: bigint, ns: bigint, title: string>>>>"
+    given = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    rows = answers.select("parent", F.col("number").cast("long").alias("number"), given.alias("given"), F.from_json("body", shape)["query"]["categorymembers"].alias("m"))
+    holes = F.exists("m", lambda x: x.isNull() | x["ns"].isNull() | (x["ns"].isin(0, 14) & (x["pageid"].isNull() | x["title"].isNull())))
+    return rows.withColumn("bad", F.coalesce(F.nullif("given", F.lit("")), F.when(F.col("m").isNull() | holes, F.lit(INVALID))))
+
+
 def category_links(answers: DataFrame) -> DataFrame:
-    """(parent, kind, position, page_id, title) of answers (parent, number, body): members of namespace 0 are pages, of 14 categories, others are left out.
+    """(parent, kind, position, page_id, title) of answers (parent, number, body[, error]): members of namespace 0 are pages, of 14 categories, others are left out.
 
-    ``number`` orders the answers of one category; positions go on over them. Bodies that can't be read give no rows.
+    ``number`` orders the answers of one category; positions go on over them. Answers that can't be used give no rows here; they are
+    the rows of ``category_errors``, which ``discovered`` takes, so that a discovery with holes isn't held for a complete one.
     """
-    shape = "struct<query: struct<categorymembers: array<struct<pageid: bigint, ns: bigint, title: string>>>>"
-    rows = answers.select("parent", "number", F.posexplode(F.from_json("body", shape)["query"]["categorymembers"]).alias("at", "m"))
-    return rows.where("m.ns in (0, 14) and m.title is not null").select(
-        "parent", F.when(F.col("m.ns") == 0, "page").otherwise("category").alias("kind"), (F.col("number") * 1_000_000 + F.col("at")).cast("long").alias("position"), F.col("m.pageid").alias("page_id"), F.col("m.title").alias("title")
-    )
+    rows = _read(answers).where("bad is null").select("parent", "number", F.posexplode("m").alias("at", "x")).where("x.ns in (0, 14)")
+    return rows.select("parent", F.when(F.col("x.ns") == 0, "page").otherwise("category").alias("kind"), (F.col("number") * 1_000_000 + F.col("at")).alias("position"), F.col("x.pageid").alias("page_id"), F.col("x.title").alias("title"))
+
+
+def category_errors(answers: DataFrame) -> DataFrame:
+    """(parent, number, error) of the answers that could not be had or read, or that lack their members or an id or title of one."""
+    return _read(answers).where("bad is not null").select("parent", "number", F.col("bad").alias("error"))
 
 
 def retry_delay(attempt: int, retry_after: str | None, now: float | None = None, most: float = 60.0) -> float:
@@ -88,9 +102,11 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
-class _Category(InputPartition):
-    def __init__(self, title: str):
-        self.title = title
+class _Host(InputPartition):
+    """All categories that are asked of one host."""
+
+    def __init__(self, titles: list[str]):
+        self.titles = titles
 
 
 class _Reader(DataSourceReader):
@@ -100,28 +116,34 @@ class _Reader(DataSourceReader):
         self.interval = float(options.get("interval", "1"))
 
     def partitions(self):
-        return [_Category(t) for t in self.titles]
+        return [_Host(self.titles)]
 
     def read(self, partition):
-        client, more, number = PoliteClient(self.interval), {}, 0
-        while True:
-            query = {"action": "query", "list": "categorymembers", "cmtitle": partition.title, "cmnamespace": "0|14", "cmlimit": PAGE_SIZE, "cmsort": "sortkey", "format": "json", **more}
+        client = PoliteClient(self.interval)
+        for title in partition.titles:
+            yield from self._answers(client, title)
+
+    def _answers(self, client: PoliteClient, title: str):
+        fixed = {"action": "query", "list": "categorymembers", "cmtitle": title, "cmnamespace": "0|14", "cmlimit": PAGE_SIZE, "cmsort": "sortkey", "format": "json"}
+        goes_on: dict | None = {}
+        for number in itertools.count():
             try:
-                body = client.get(f"{self.endpoint}?{urlencode(query)}", "json")
+                body = client.get(f"{self.endpoint}?{urlencode({**fixed, **goes_on})}", "json").decode("utf-8")
                 answer = json.loads(body)
+                goes_on = answer.get("continue") if isinstance(answer, dict) else None
+                failed = None if isinstance(answer, dict) and isinstance(goes_on, dict | None) else INVALID
             except ValueError as error:
-                yield (partition.title, number, None, str(error))
-                return
-            yield (partition.title, number, body.decode("utf-8", "replace"), None)
-            more, number = answer.get("continue"), number + 1
-            if not more:
+                body, goes_on, failed = None, None, INVALID if isinstance(error, json.JSONDecodeError | UnicodeDecodeError) else str(error)
+            yield (title, number, body, failed)
+            if failed or not goes_on:
                 return
 
 
 class CategoryPages(DataSource):
     """format("category_pages"): answers (parent, number, body, error) of a category service; options endpoint, categories (JSON list), interval.
 
-    One task for each category, each with its own interval between requests.
+    The service is one host, so all categories are asked by one task through one client: the interval between requests holds for the
+    host, however many categories there are.
     """
 
     @classmethod

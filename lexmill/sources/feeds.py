@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from html import escape
+from typing import NamedTuple
 from urllib.parse import urljoin
-from xml.etree import ElementTree
+from xml.etree.ElementTree import ParseError, XMLParser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,77 +16,128 @@ from ..functions.urls import canonical_url
 ITEM = "feed_id long, position long, source_item_id string, title string, discovered_url string, canonical_url string, embedded_content string, error string"
 
 
-def _name(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1].casefold()
+class Rules(NamedTuple):
+    """What a kind of feed calls its things. entries: by the name of the root, None for any other root."""
 
+    entries: dict[str | None, str]
+    names: tuple[str, ...]
+    bodies: frozenset[str]
+    relative: bool
+    error: str
 
-def _children(entry, *names: str):
-    return [c for c in entry if _name(c.tag) in names]
 
+KINDS = {
+    "medium": Rules({None: "item"}, ("guid",), frozenset({"encoded"}), False, "medium_invalid_rss"),
+    "rss": Rules({"feed": "entry", None: "item"}, ("guid", "id"), frozenset({"encoded", "content"}), True, "rss_invalid_feed"),
+}
+SITEMAPS, SITEMAP_ERROR = {"urlset": "page", "sitemapindex": "sitemap"}, "medium_invalid_sitemap"
+#: A channel's own section: a path on the main host, behind /feed where it has that.
+_SECTION = re.compile(r"(?i:https://(?:[^/?#]*@)?medium\.com)(?::\d*)?(?:/feed(?=/))?(/[^?#]*[^/?#])/*(?:[?#]|$)")
 
-def _words(entry, name: str) -> str | None:
-    return next((t for c in _children(entry, name) if (t := " ".join("".join(c.itertext()).split()))), None)
 
+class Field:
+    """A child of an entry or channel, or an address of a sitemap: ``own`` is its text up to its first child, ``text`` all of it."""
 
-def _link(entry) -> str | None:
-    """The alternate link of an entry, else its first."""
-    links = [((c.get("rel") or "alternate").casefold(), v) for c in _children(entry, "link") if (v := c.get("href") or (c.text or "").strip())]
-    return next((v for rel, v in links if rel == "alternate"), links[0][1] if links else None)
+    def __init__(self, name: str, attributes: dict):
+        self.name, self.href, self.rel = name, attributes.get("href"), (attributes.get("rel") or "alternate").casefold()
+        self.pieces: list[str] = []
+        self.cut: int | None = None
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces).strip()
+
+    @property
+    def own(self) -> str:
+        return "".join(self.pieces[: self.cut]).strip()
+
+    @property
+    def target(self) -> str:
+        return self.href or self.own
+
+
+class Events:
+    """Takes a document's parse events in one pass and keeps what feeds and sitemaps are made of, never a tree.
+
+    holders: for item, entry and channel the lists of the fields of each, in order of their opening tags. locs: addresses of sitemaps.
+    """
+
+    HOLDERS = ("item", "entry", "channel")
+
+    def __init__(self):
+        self.root: str | None = None
+        self.open: list[tuple[list[Field] | None, Field | None]] = []
+        self.holders: dict[str, list[list[Field]]] = {h: [] for h in self.HOLDERS}
+        self.locs: list[Field] = []
+
+    def start(self, tag: str, attributes: dict) -> None:
+        name = tag[tag.rfind("}") + 1 :].casefold()
+        self.root = self.root or name
+        for _, field in self.open:
+            if field is not None and field.cut is None:
+                field.cut = len(field.pieces)
+        around = self.open[-1][0] if self.open else None
+        field = Field(name, attributes) if around is not None or name == "loc" else None
+        if around is not None:
+            around.append(field)
+        if name == "loc":
+            self.locs.append(field)
+        held: list[Field] | None = None
+        if name in self.holders:
+            held = []
+            self.holders[name].append(held)
+        self.open.append((held, field))
+
+    def data(self, text: str) -> None:
+        for _, field in self.open:
+            if field is not None:
+                field.pieces.append(text)
+
+    def end(self, _tag: str) -> None:
+        self.open.pop()
+
+    def close(self) -> Events:
+        return self
+
+
+def events(xml: str | None) -> Events | None:
+    """None if the document can't be read to its end."""
+    parser = XMLParser(target=Events())
+    try:
+        parser.feed((xml or "").encode("utf-8"))
+        return parser.close()
+    except (ParseError, UnicodeError, ValueError):
+        return None
 
 
 def feed_items(xml: str | None, base: str | None, kind: str) -> list[tuple]:
     """(source_item_id, title, discovered_url, canonical_url, embedded_content, error) of each entry of a feed.
 
-    Entries without title or usable link are skipped. XML that can't be read gives one row with an error only.
+    The link is the first alternate one, else the first. Entries without title or usable link are skipped. XML that can't be read
+    gives one row with an error only.
     """
-    try:
-        root = ElementTree.fromstring((xml or "").encode("utf-8"))
-    except (ElementTree.ParseError, UnicodeError, ValueError):
-        return [(None, None, None, None, None, "medium_invalid_rss" if kind == "medium" else "rss_invalid_feed")]
-    atom = kind == "rss" and _name(root.tag) == "feed"
-    found = []
-    for entry in root.iter():
-        if _name(entry.tag) != ("entry" if atom else "item"):
-            continue
-        title, link = _words(entry, "title"), _link(entry)
-        if not title or not link:
-            continue
-        address = canonical_url(link, kind, base if kind == "rss" else None)
-        if address is None:
-            continue
-        body = next((t for c in _children(entry, "encoded", *(("content",) if kind == "rss" else ())) if (t := "".join(c.itertext()).strip())), None)
-        name = _words(entry, "guid") or (_words(entry, "id") if kind == "rss" else None) or address
-        found.append((name, title, urljoin(base or "", link) if kind == "rss" else link, address, body, None))
-    return found
-
-
-def sitemap_urls(xml: str | None) -> tuple[list[str], list[str], str | None]:
-    """(addresses, nested sitemaps, error) of a sitemap or an index of sitemaps."""
-    try:
-        root = ElementTree.fromstring((xml or "").encode("utf-8"))
-    except (ElementTree.ParseError, UnicodeError, ValueError):
-        return [], [], "medium_invalid_sitemap"
-    values = [(e.text or "").strip() for e in root.iter() if _name(e.tag) == "loc" and e.text]
-    kinds = {"urlset": (values, [], None), "sitemapindex": ([], values, None)}
-    return kinds.get(_name(root.tag), ([], [], "medium_invalid_sitemap"))
+    rules, seen = KINDS[kind], events(xml)
+    if seen is None:
+        return [(*[None] * 5, rules.error)]
+
+    def item(fields: list[Field]) -> tuple | None:
+        link = min((f for f in fields if f.name == "link" and f.target), key=lambda f: f.rel != "alternate", default=None)
+        words = {n: w for f in reversed(fields) if (n := f.name) in ("title", *rules.names) and (w := " ".join(f.text.split()))}
+        address = link and canonical_url(link.target, kind, base if rules.relative else None)
+        if not address or "title" not in words:
+            return None
+        named = [words[n] for n in rules.names if n in words]
+        bodies = [f.text for f in fields if f.name in rules.bodies and f.text]
+        return (*named, address)[0], words["title"], urljoin(base or "", link.target) if rules.relative else link.target, address, (*bodies, None)[0], None
+
+    return [x for fields in seen.holders[rules.entries.get(seen.root, rules.entries[None])] if (x := item(fields))]
 
 
 def channel_path(xml: str | None) -> str | None:
     """The section that a channel's first own link on the main host names, without a leading /feed."""
-    from urllib.parse import urlsplit
-
-    try:
-        root = ElementTree.fromstring((xml or "").encode("utf-8"))
-    except (ElementTree.ParseError, UnicodeError, ValueError):
-        return None
-    for channel in (e for e in root.iter() if _name(e.tag) == "channel"):
-        for value in (c.get("href") or (c.text or "").strip() for c in _children(channel, "link")):
-            parts = urlsplit(value)
-            path = parts.path.rstrip("/")
-            path = path[5:] if path.startswith("/feed/") else path
-            if parts.scheme.casefold() == "https" and (parts.hostname or "").casefold() == "medium.com" and path:
-                return path
-    return None
+    seen = events(xml)
+    links = (f.target for fields in (seen.holders["channel"] if seen else ()) for f in fields if f.name == "link")
+    return next((m[1] for m in map(_SECTION.match, links) if m), None)
 
 
 def _rows(df: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
@@ -112,8 +165,9 @@ def parse_sitemaps(maps: DataFrame) -> DataFrame:
     """(feed_id, position, kind, url, error) of sitemaps (feed_id, xml): kind page or sitemap."""
 
     def of(xml):
-        pages, nested, error = sitemap_urls(xml)
-        return [("page", u, None) for u in pages] + [("sitemap", u, None) for u in nested] + ([(None, None, error)] if error else [])
+        seen = events(xml)
+        kind = SITEMAPS.get(seen.root) if seen else None
+        return [(kind, f.own, None) for f in seen.locs if f.pieces] if kind else [(None, None, SITEMAP_ERROR)]
 
     return _rows(maps, ["xml"], of, "feed_id long, position long, kind string, url string, error string")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,16 @@ class SnapshotStore:
         return self._hadoop.Path("/".join([self.path, *parts]))
 
     def _write(self, name: str, text: str) -> None:
-        """Write under another name first, then rename over."""
-        with_tmp = self._p(f"{name}.tmp")
-        out = self._fs.create(with_tmp, True)
+        """Write under another name first, then rename over the old file in one step: a crash leaves either the old text or the new one."""
+        tmp, target = self._p(f"{name}.{uuid.uuid4().hex}.tmp"), self._p(name)
+        out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._p(name), False)
-        if not self._fs.rename(with_tmp, self._p(name)):
-            raise OSError(f"could not move {name}")
+        sc = self.spark.sparkContext
+        rename = getattr(self._hadoop, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self._hadoop.FileContext.getFileContext(self._fs.makeQualified(target).toUri(), sc._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(target), how)
 
     def _read(self, *parts: str) -> str | None:
         if not self._fs.exists(self._p(*parts)):

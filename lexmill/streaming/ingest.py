@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.local import local_table
 from ..operators.ingest import classified, imported_documents, staged, validated
+from ..scratch import file_system
 
 OUTCOME = ["batch", "job_id", "position", "status", "error"]
 
@@ -24,11 +26,12 @@ class StreamIngest:
         self.spark, self.path, self.published = spark, path.rstrip("/"), published
 
     def documents(self, but: int | None = None) -> DataFrame:
+        """All documents so far, without those of batch ``but``. Only a folder that isn't there is an empty history; any other error is raised."""
         schema = "id long, title string, content string, url string, status string, batch long"
-        try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/documents")
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+        fs, where = file_system(self.spark, f"{self.path}/documents")
+        if not fs.exists(where):
+            return local_table(self.spark, [], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/documents")
         return rows if but is None else rows.where(F.col("batch") != but)
 
     def outcomes(self) -> DataFrame:

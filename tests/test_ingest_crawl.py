@@ -307,3 +307,97 @@ def test_checkpoint_without_limit(spark):
     known = spark.createDataFrame([("u0", 7)], "url string, position long")
     got = {r.url: r.position for r in crawl.checkpoint(found, known, "url", None, ["at"]).collect()}
     assert got == {f"u{i}": 7 + i for i in range(1, 50)}
+
+
+def test_no_import_is_lost_when_partitions_are_coalesced(spark):
+    """60,000 items with 3.8 KB each: the counting side of a numbering is far smaller than the side it counts."""
+    items = spark.range(60_000).select(
+        F.lit("j").alias("job_id"), F.pmod(F.col("id") * 7919, F.lit(60_000)).alias("position"), F.concat(F.lit("t"), "id").alias("title"),
+        F.concat(F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit("x"), 3_700)).alias("content"), F.lit(None).cast("string").alias("url"), F.lit("imported").alias("status"),
+    )
+    docs = spark.createDataFrame([(41, "u")], "id long, url string")
+    made = ingest.imported_documents(items, docs, ["job_id", "position"])
+    r = made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last")).first()
+    assert (r.n, r.ids, r.first, r.last) == (60_000, 60_000, 42, 60_041)
+    placed = made.select("id", F.substring("title", 2, 9).cast("long").alias("t")).where((F.col("id") - 42) != F.pmod(F.col("t") * 7919, F.lit(60_000)))
+    assert placed.count() == 0
+    assert ingest.imported_documents(items.where("false"), docs, ["job_id", "position"]).count() == 0
+
+
+def test_discovery_flags(spark):
+    def state(**limits):
+        d = crawl.discovered(links(spark, GRAPH), "root", 2, **limits)
+        f = d.flags.first()
+        return {r.title: r.status for r in d.categories.collect()}, (f.complete, f.article_limit_reached, f.category_limit_reached)
+
+    assert state() == (dict.fromkeys(["root", "A", "B", "C", "D"], "completed"), (True, False, False))
+    assert state(max_pages=3) == ({"root": "completed", "A": "pending", "B": "pending"}, (True, True, False))
+    assert state(max_categories=2) == ({"root": "completed", "A": "completed"}, (True, False, True))
+    errors = spark.createDataFrame([("A", 1, "http_500"), ("A", 0, "wikipedia_invalid_response"), ("Z", 0, "x"), (None, 0, "x")], "parent string, number long, error string")
+    d = crawl.discovered(links(spark, GRAPH), "root", 2, errors=errors)
+    assert {r.title: r.error for r in d.categories.where("status = 'failed'").collect()} == {"A": "wikipedia_invalid_response"} and not d.flags.first().complete
+
+
+def test_category_errors(spark):
+    good = json.dumps({"query": {"categorymembers": [{"pageid": 1, "ns": 0, "title": "P"}, {"ns": 2}]}})
+    hole = json.dumps({"query": {"categorymembers": [{"pageid": 1, "ns": 0, "title": "P"}, {"pageid": 2, "ns": 14}]}})
+    df = spark.createDataFrame([("a", 0, good, None), ("b", 0, "{bad", None), ("c", 0, None, "http_500"), ("d", 0, hole, None), ("e", 0, "{}", None), ("f", 0, None, None)], "parent string, number long, body string, error string")
+    got = {r.parent: r.error for r in category_pages.category_errors(df).collect()}
+    assert got == {"c": "http_500", **dict.fromkeys("bdef", "wikipedia_invalid_response")}
+    assert [r.parent for r in category_pages.category_links(df).collect()] == ["a"]
+    reader = category_pages._Reader({"endpoint": "https://a.example/api", "categories": '["A", "B"]'})
+    assert [p.titles for p in reader.partitions()] == [["A", "B"]]  # one task, so one interval, for the host
+    answers = iter([b'{"query": {}, "continue": {"cmcontinue": "x"}}', b"[1]", b"\xff"])
+
+    class Client:
+        def get(self, url, kind):
+            return next(answers)
+
+    assert [(t, n, b is None, e) for t, n, b, e in [*reader._answers(Client(), "A"), *reader._answers(Client(), "B")]] == [("A", 0, False, None), ("A", 1, False, "wikipedia_invalid_response"), ("B", 0, True, "wikipedia_invalid_response")]
+
+
+def test_frontier_lookup(spark):
+    f = spark.createDataFrame([("j", "a", 1), ("j", "b", 2), ("k", "a", 3), (None, "a", 4), ("j", None, 5)], "job_id string, locator string, id long")
+    assert [r.id for r in crawl.frontier_at(f, "j", "a").collect()] == [1]
+    asked = spark.createDataFrame([("j", "b"), ("k", "a"), ("k", "a"), (None, "a"), ("j", None), ("x", "y")], "job_id string, locator string")
+    assert {r.id for r in crawl.located(f, asked).collect()} == {2, 3}
+
+
+def test_order_statistics(spark):
+    import math
+    import random
+    import statistics
+
+    from lexmill.operators import evaluate
+
+    rng = random.Random(5)
+    groups = {"hot": [rng.choice([1.5, 2.5, rng.random() * 9]) for _ in range(3001)], "even": [4.0, 1.0], "one": [7.0]}
+    rows = [(g, v, 1) for g, vs in groups.items() for v in vs] + [("none", None, 1), (None, 3.0, 1), ("hot", None, 1)]
+    df = spark.createDataFrame(rows, "kind string, ms double, v int")
+    got = {r.kind: (r.median, r.p95, r.max) for r in evaluate.latencies(df, "ms", ["kind"]).collect()}
+    want = {g: (statistics.median(vs), sorted(vs)[math.ceil(0.95 * len(vs)) - 1], max(vs)) for g, vs in {**groups, None: [3.0]}.items()}
+    assert got == {**want, "none": (None, None, None)}
+    whole = [v for _, v, _ in rows if v is not None]
+    r = evaluate.latencies(df, "ms").first()
+    assert (r.median, r.p95, r.max) == (statistics.median(whole), sorted(whole)[math.ceil(0.95 * len(whole)) - 1], max(whole))
+    assert evaluate.latencies(df.where("false"), "ms", ["kind"]).count() == 0
+
+
+def test_stream_history_errors_are_raised(spark, tmp_path):
+    ingest_ = StreamIngest(spark, str(tmp_path))
+    assert ingest_.documents().count() == 0
+    (tmp_path / "documents").mkdir()
+    (tmp_path / "documents" / "batch=0").mkdir()
+    (tmp_path / "documents" / "batch=0" / "x.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest_.documents().count()
+
+
+def test_pointer_moves_in_one_step(spark, tmp_path):
+    from lexmill.sources.snapshots import SnapshotStore
+
+    store = SnapshotStore(spark, str(tmp_path))
+    for text in ("one", "two"):
+        store._write("ACTIVE", text)
+        assert store.active_version() == text
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["ACTIVE"]
