@@ -37,6 +37,40 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    data = fs.open(where)
+    try:
+        return bytes(data.readAllBytes()).decode()
+    finally:
+        data.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name first, then rename it over the old one in one step: a crash leaves either the old text or the new one."""
+    fs, target = file_system(spark, path)
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    tmp = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    target = fs.makeQualified(target)
+    hadoop.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), target, how)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file below the shared folder, if it is there."""
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
@@ -64,6 +98,5 @@ class Scratch:
 
     def discard(self) -> None:
         for spark, path in self.paths:
-            fs, where = file_system(spark, path)
-            fs.delete(where, True)
+            delete(spark, path)
         self.paths.clear()

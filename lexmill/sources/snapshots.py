@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import Analyzer, analyze
 from ..operators.index import Index, read_index, write_index
+from ..scratch import read_text, replace_text
 
 FORMAT = 1
 
@@ -29,25 +29,10 @@ class SnapshotStore:
         return self._hadoop.Path("/".join([self.path, *parts]))
 
     def _write(self, name: str, text: str) -> None:
-        """Write under another name first, then rename over the old file in one step: a crash leaves either the old text or the new one."""
-        tmp, target = self._p(f"{name}.{uuid.uuid4().hex}.tmp"), self._p(name)
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        sc = self.spark.sparkContext
-        rename = getattr(self._hadoop, "Options$Rename")
-        how = sc._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        self._hadoop.FileContext.getFileContext(self._fs.makeQualified(target).toUri(), sc._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(target), how)
+        replace_text(self.spark, f"{self.path}/{name}", text)
 
     def _read(self, *parts: str) -> str | None:
-        if not self._fs.exists(self._p(*parts)):
-            return None
-        data = self._fs.open(self._p(*parts))
-        try:
-            return bytes(data.readAllBytes()).decode()
-        finally:
-            data.close()
+        return read_text(self.spark, "/".join([self.path, *parts]))
 
     def active_version(self) -> str | None:
         return self._read("ACTIVE")
