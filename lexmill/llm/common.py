@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, delete, read_text, replace_text, scratch_path, shared_dir, written
+
+__all__ = ["Scratch", "WordIds", "delete", "mix", "read_text", "replace_text", "scratch_path", "shared_dir", "small", "table", "triple_hashes", "triple_sets", "verified_pairs", "with_similarity", "word_list", "written"]
+
 #: Rows up to which a side of 16-byte keys is broadcast; beyond, Catalyst joins by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -18,57 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint directory is set (tests on one machine), a folder
-    of this machine is made and set.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    there = sc._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return there.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex[:12]}-{tag}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables written for the time of one operator; ``discard`` deletes them once its result no longer reads them."""
-
-    def __init__(self):
-        self.paths = []
-
-    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
-        path = scratch_path(df.sparkSession, tag)
-        df.write.parquet(path)
-        self.paths.append((df.sparkSession, path))
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    def discard(self) -> None:
-        for spark, path in self.paths:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths.clear()
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged. Counts ``df``: give a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -117,20 +68,17 @@ def triple_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return h[inside], doc[:-2][inside]
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
-    """Of ``pairs`` (a, b: different ids) those whose texts are similar, with the exact similarity.
+def word_list(words: DataFrame, most: int) -> list[str]:
+    """The different lower-case words of (word), in order; more than ``most`` of them are an error, never a choice."""
+    found = [r[0] for r in words.select(F.lower("word").alias("word")).where("word is not null and word <> ''").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"at most {most} words can be used")
+    return sorted(found)
 
-    ``texts`` has ``id`` and ``text``. Similarity is the Jaccard coefficient of the sets of three successive
-    words. Only texts that occur in a pair are read into sets, as 32-bit hashes.
-    """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = (
-        texts.join(small(hold(ids, "ids")), "id", "left_semi")
-        .mapInArrow(_triple_sets, "id long, triples array<int>")
-        .dropDuplicates(["id"])
-    )
-    sets = hold(sets, "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
+
+def with_similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those of ``pairs`` (a, b) whose sets (id, triples: sorted, different 32-bit hashes) are similar."""
+    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
 
     def run(batches):
         import pyarrow as pa
@@ -146,8 +94,19 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: S
                 union = np.bincount(left[1], minlength=n) + np.bincount(right[1], minlength=n) - both
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both / np.maximum(1, union))], ["a", "b", "similarity"])
 
-    found = joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
-    return found.where(F.col("similarity") >= threshold)
+    kind = pairs.schema["a"].dataType.simpleString()
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
+    """Of ``pairs`` (a, b: different ids) those whose texts are similar, with the exact similarity.
+
+    ``texts`` has ``id`` and ``text``. Similarity is the Jaccard coefficient of the sets of three successive
+    words. Only texts that occur in a pair are read into sets, as 32-bit hashes.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = texts.join(small(hold(ids, "ids")), "id", "left_semi").mapInArrow(_triple_sets, "id long, triples array<int>").dropDuplicates(["id"])
+    return with_similarity(pairs, hold(sets, "sets"), threshold)
 
 
 def _keyed(column) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +128,13 @@ def _triple_sets(batches):
                 words += [ids[w] for w in WORD.findall((text or "").lower())]
                 starts.append(len(words))
             h, doc = triple_hashes(np.array(words, np.uint64), np.array(starts))
-            h = (h >> np.uint64(32)).astype(np.int64)
-            key = np.unique(doc << np.int64(32) | h)
-            offsets = np.searchsorted(key >> np.int64(32), np.arange(part.num_rows + 1)).astype(np.int32)
-            values = (key & np.int64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "triples"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), triple_sets(h, doc, part.num_rows)], ["id", "triples"])
+
+
+def triple_sets(h: np.ndarray, doc: np.ndarray, n: int):
+    """The set of 32-bit hashes of each of ``n`` texts, as a list column, from hashes of triples and the text of each."""
+    import pyarrow as pa
+
+    key = np.unique(doc << np.int64(32) | (h >> np.uint64(32)).astype(np.int64))
+    offsets = np.searchsorted(key >> np.int64(32), np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & np.int64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))

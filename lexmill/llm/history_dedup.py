@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
-import uuid
+import zlib
 from urllib.parse import parse_qsl, urlsplit
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_OR_STOP, Scratch, WordIds, mix, scratch_path, small, triple_hashes, verified_pairs, written
+from .common import WORD_OR_STOP, Scratch, WordIds, delete, mix, read_text, replace_text, scratch_path, small, triple_hashes, triple_sets, with_similarity, written
 
 #: Parameters that only track; also all that begin with utm_ (fixed values).
 TRACKING = {"source", "ref", "sk", "from"}
@@ -24,6 +25,8 @@ SYMBOLS, BANDS, BAND_WIDTH = 64, 32, 2
 #: a candidate pair that differs in more than MOST_BITS isn't compared: 1 in 11,000 at 0.5, 1 in 170,000 at 0.55. With the bands'
 #: share at most 1 pair in 5,200 is lost at 0.5 and 1 in 63,000 at 0.55, whatever paragraphs it has.
 MOST_BITS = 102
+#: New texts that share one key from which on they are first held against the earliest of them; see ``_settled``. Changes no result.
+CROWD = 64
 _KEEP = re.compile(r"%([0-9A-Fa-f]{2})")
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 
@@ -64,8 +67,11 @@ def _pages(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.int64())], ["item_id", "ord", "document_id", "page"])
 
 
+FEATURES = "id long, head binary, keys array<long>, bits array<long>, triples array<int>"
+
+
 def _features(batches):
-    """(id, class, keys, bits) of texts with enough words. keys: even hashes of paragraphs and odd ones of bands (pairs of symbols)."""
+    """FEATURES of texts with enough words. head: digest of the sequence of words. keys: even hashes of paragraphs and odd ones of bands (pairs of symbols)."""
     import pyarrow as pa
     import xxhash
 
@@ -82,7 +88,7 @@ def _features(batches):
                 if len(set(plain)) < LEAST_WORDS:
                     continue
                 docs.append(key)
-                classes.append(xxhash.xxh3_128_hexdigest(" ".join(plain).encode("utf-8", "surrogatepass")))
+                classes.append(xxhash.xxh3_128_digest(" ".join(plain).encode("utf-8", "surrogatepass")))
                 words += [0 if w[0] in ".!?…。" else ids[w] for w in found]
                 starts.append(len(words))
             if not docs:
@@ -116,10 +122,11 @@ def _features(batches):
             offsets = np.searchsorted(key_doc, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs, pa.int64()), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
+                    pa.array(docs, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SYMBOLS // 16)), pa.array(bits.ravel().view(np.int64))),
+                    triple_sets(t, t_doc, n),
                 ],
-                ["id", "class", "keys", "bits"],
+                ["id", "head", "keys", "bits", "triples"],
             )
 
 
@@ -128,75 +135,139 @@ def _first(c: str) -> Column:
     return F.min(F.when(F.col("accepted"), F.struct("ord", "item_id"))).alias(c)
 
 
+_WORDS = SYMBOLS // 16
+
+
+def _alike() -> Column:
+    """Whether two signatures, b0... and o0..., differ in few enough bits."""
+    return sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(1, _WORDS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("o0")))) <= MOST_BITS
+
+
+def _bits(prefix: str) -> list[Column]:
+    return [F.col("bits")[i].alias(f"{prefix}{i}") for i in range(_WORDS)]
+
+
+def _renamed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the signature, as the other side of ``_alike``."""
+    return df.select(*columns, *(F.col(f"b{i}").alias(f"o{i}") for i in range(_WORDS)))
+
+
 class AcceptedHistory:
-    """What is kept of all accepted items: page addresses, text classes, hashes of paragraphs and bands (both in ``paragraphs``), signatures; never the texts.
+    """What is kept of all accepted items, below ``path``, which a later session opens again by the same call; never the texts.
 
-    The tables are bucketed by what they are joined on, so a new run is shuffled to the buckets, and the history is
-    neither shuffled nor hashed anew. They lie below the shared folder (or ``path``) and grow by appending.
+    pages: page addresses. heads: of each different text its digest, first item, signature and set of triples. keys: hashes of its
+    paragraphs and bands. Each table is bucketed by the column it is asked by, so what a new batch asks for is shuffled to the
+    buckets, and the history is neither shuffled nor hashed anew: a batch scans the asked columns and appends its own rows.
+
+    The file STATE names the batches that were begun and not committed. It is replaced in one step, before a batch's first row is
+    written and after its last; rows of batches that aren't committed are never read, so a batch that broke off is admitted
+    again. ``compact`` writes all into new files, with another number of buckets if asked: one file for each bucket
+    and batch is too many after some hundred batches, and a bucket must fit a task.
     """
 
-    COLUMNS = {
-        "pages": "page long, ord long, item_id long", "classes": "class string, head long, ord long, item_id long",
-        "paragraphs": "key long, head long", "sketches": "head long, bits array<long>",
+    TABLES = {
+        "pages": "page bigint, ord bigint, item_id bigint, batch int", "keys": "key bigint, head binary, batch int",
+        "heads": "head binary, ord bigint, item_id bigint, bits array<bigint>, triples array<int>, batch int",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or scratch_path(spark, "history")
-        self.name = f"lexmill_{uuid.uuid4().hex[:12]}"
-        self.started = False
-
-    def _append(self, table: str, rows: DataFrame) -> None:
-        key = self.COLUMNS[table].split()[0]
+        self.spark, self.path = spark, (path or scratch_path(spark, "history")).rstrip("/")
+        text = read_text(spark, f"{self.path}/STATE")
+        self.state = json.loads(text) if text else {"buckets": buckets, "batches": 0, "uncommitted": [], "generation": 0}
+        self._attach()
+
+    def _save(self, **state) -> None:
+        self.state = {**self.state, **state}
+        replace_text(self.spark, f"{self.path}/STATE", json.dumps(self.state))
+
+    def _attach(self) -> None:
+        """Name the tables in the session's catalog; the files are the truth."""
+        self.name = f"lexmill_{zlib.crc32(self.path.encode()):08x}_{self.state['generation']}"
+        for table, columns in self.TABLES.items():
+            key = columns.split()[0]
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self._where(table)}'"
+            )
+
+    def _where(self, table: str) -> str:
+        return f"{self.path}/{self.state['generation']}/{table}"
+
+    def close(self) -> None:
+        """Take the tables out of the catalog; the files stay."""
+        for table in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    @property
+    def started(self) -> bool:
+        return self.state["batches"] > len(self.state["uncommitted"])
+
+    def _append(self, table: str, rows: DataFrame, batch: int) -> None:
+        key = self.TABLES[table].split()[0]
         (
-            rows.repartition(self.buckets, key).write.mode("append").format("parquet").option("path", f"{self.path}/{table}")
+            rows.withColumn("batch", F.lit(batch)).repartition(self.buckets, key).write.mode("append").format("parquet").option("path", self._where(table))
             .bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{table}")
         )
 
     def _table(self, table: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{table}") if self.started else self.spark.createDataFrame([], self.COLUMNS[table])
+        rows = self.spark.table(f"{self.name}_{table}")
+        return rows.where(~F.col("batch").isin(self.state["uncommitted"])) if self.state["uncommitted"] else rows
+
+    def _ask(self, table: str, asked: DataFrame) -> DataFrame:
+        """The rows of a table for the different keys ``asked`` (its first column, and others), which alone are shuffled."""
+        key = self.TABLES[table].split()[0]
+        return asked.repartition(self.buckets, key).join(self._table(table), key)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """All committed rows in new files, one for each bucket; the old ones are deleted once STATE names the new."""
+        rows = {t: self._table(t).drop("batch") for t in self.TABLES}
+        old, old_name = dict(self.state), self.name
+        self.state = {**self.state, "generation": old["generation"] + 1, "buckets": buckets or self.buckets}
+        self._attach()
+        for table, df in rows.items():
+            self._append(table, df, old["batches"])
+        self._save(batches=old["batches"] + 1, uncommitted=[])
+        for table in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {old_name}_{table}")
+        delete(self.spark, f"{self.path}/{old['generation']}")
 
     def admit(self, items: DataFrame, texts: DataFrame, threshold: float = 0.5) -> DataFrame:
         """The cases (accepted_id, item_id) among new ``items``; the others are accepted and appended.
 
-        items: item_id, ord, document_id, url, all later than the history. texts: id, text; only those that items
-        name are read into hashes, and only those in a candidate pair are compared. An item is a case if an earlier accepted
-        one has its page or a similar text; accepted_id is the earliest such. Whether an item is accepted
-        may hang on others of the same call, so it is settled in rounds: an item with no undecided or accepted earlier
-        partner is accepted, one with an accepted partner is a case. Items without any partner take no part in the rounds.
-        A page, class or paragraph with very many items is reduced to its earliest item before it is joined. Repeated
-        rows count once; null addresses and texts match nothing.
+        items: item_id, ord, document_id, url, all later than the history. texts: id, text, at least those of the items' documents; they are
+        read once. An item is a case if an earlier accepted one has its page or a similar text; accepted_id is the
+        earliest such. Whether an item is accepted may hang on others of the same call, so it is settled in
+        rounds: an item with no undecided or accepted earlier partner is accepted, one with an accepted partner is a case. Items
+        without any partner take no part in the rounds. A page, text or key with very many items is reduced to its earliest
+        item before it is joined. Repeated rows count once; null addresses and texts match nothing; an id with several texts has
+        the one with the least digest.
         """
+        batch = self.state["batches"]
+        self._save(batches=batch + 1, uncommitted=[*self.state["uncommitted"], batch])
         hold = Scratch()
         items = items.select("item_id", "ord", "document_id", "url").where("item_id is not null").dropDuplicates(["item_id"])
         items = hold(items.mapInArrow(_pages, "item_id long, ord long, document_id long, page long"), "items")
         wanted = small(hold(items.where("document_id is not null").select(F.col("document_id").alias("id")).distinct(), "wanted"))
-        texts = texts.select("id", "text")
-        feats = hold(texts.join(wanted, "id", "left_semi").mapInArrow(_features, "id long, class string, keys array<long>, bits array<long>"), "features")
-
-        one = feats.groupBy("id").agg(F.min("class").alias("class"))
-        heads = one.groupBy("class").agg(F.min("id").alias("new_head"))
+        feats = hold(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_features, FEATURES), "features")
+        items = items.join(feats.groupBy(F.col("id").alias("document_id")).agg(F.min("head").alias("head")), "document_id", "left")
+        first = F.struct("ord", "item_id")
         if self.started:
-            known = self._table("classes").groupBy("class").agg(F.min("head").alias("head"))
-            heads = heads.join(known, "class", "left").select("class", F.coalesce("head", "new_head").alias("head"), F.col("head").isNull().alias("new"))
+            pages, heads = (items.select(c).where(F.col(c).isNotNull()).distinct() for c in ("page", "head"))
+            old_pages = self._ask("pages", pages).groupBy("page").agg(F.min(first).alias("old_page"))
+            old_heads = self._ask("heads", heads).groupBy("head").agg(F.min(first).alias("old_head"))
+            items = items.join(old_pages, "page", "left").join(old_heads, "head", "left")
         else:
-            heads = heads.select("class", F.col("new_head").alias("head"), F.lit(True).alias("new"))
-        heads = hold(one.join(heads, "class"), "heads")
-        fresh = small(hold(heads.where("new and id = head").select("id", "class"), "fresh"))
-        rows = feats.join(fresh, ["id", "class"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "head")
-        rows = hold(rows.select("head", "keys", "bits"), "rows")
-        links = self._links(rows, texts, threshold, hold)
-        both = small(hold(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links"))
-
-        items = items.join(heads.select(F.col("id").alias("document_id"), "head"), "document_id", "left").select("item_id", "ord", "page", "head")
-        old = F.lit(None).cast("struct<ord:long,item_id:long>")
-        if self.started:
-            old_pages = self._table("pages").groupBy("page").agg(F.min(F.struct("ord", "item_id")).alias("old_page"))
-            old_heads = self._table("classes").groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("old_head"))
-            near = both.join(old_heads.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head")).agg(F.min("old_head").alias("old_near"))
-            items = items.join(old_pages, "page", "left").join(old_heads, "head", "left").join(near, "head", "left")
-            old = F.least("old_page", "old_head", "old_near")
-        items = hold(items.select("item_id", "ord", "page", "head", old.alias("old")), "headed")
+            items = items.withColumns(dict.fromkeys(("old_page", "old_head"), F.lit(None).cast("struct<ord: bigint, item_id: bigint>")))
+        items = hold(items.select("item_id", "ord", "page", "head", "old_page", "old_head"), "headed")
+
+        fresh = small(hold(items.where("head is not null and old_head is null").select("head").distinct(), "fresh"))
+        rows = hold(feats.join(fresh, "head", "left_semi").dropDuplicates(["head"]).drop("id"), "rows")
+        both, old_near = self._links(rows, items, threshold, hold)
+        items = hold(items.join(old_near, "head", "left").select("item_id", "ord", "page", "head", F.least("old_page", "old_head", "old_near").alias("old")), "asked")
+
         live = items.where("old is null").drop("old")
         shared_page = live.where("page is not null").groupBy("page").agg(F.count("*").alias("pages")).where("pages > 1")
         shared_head = live.where("head is not null").groupBy("head").agg(F.count("*").alias("heads")).where("heads > 1").select("head")
@@ -205,11 +276,11 @@ class AcceptedHistory:
         alone = live.where("alone").select("item_id", "ord", "page", "head")
         state = live.where("not alone").select("item_id", "ord", "page", "head", F.lit(False).alias("accepted"), F.lit(False).alias("case"))
         while True:
-            first = F.least("page_ord", "head_ord", "near_ord", "ord")
+            earliest = F.least("page_ord", "head_ord", "near_ord", "ord")
             taken = F.coalesce("page_first", "head_first", "near_first").isNotNull()
             state = hold(
                 self._partners(state, both).select(
-                    "item_id", "ord", "page", "head", (F.col("accepted") | (~F.col("case") & ~taken & (F.col("ord") <= first))).alias("accepted"),
+                    "item_id", "ord", "page", "head", (F.col("accepted") | (~F.col("case") & ~taken & (F.col("ord") <= earliest))).alias("accepted"),
                     (F.col("case") | (~F.col("accepted") & taken)).alias("case"),
                 ), "state")
             if not state.where("not accepted and not case").limit(1).count():
@@ -217,43 +288,92 @@ class AcceptedHistory:
         cases = self._partners(state, both).where("case").select(F.least("page_first", "head_first", "near_first").getField("item_id").alias("accepted_id"), "item_id")
         cases = written(cases.union(items.where("old is not null").select("old.item_id", "item_id")), "cases")
         good = state.where("accepted").select("item_id", "ord", "page", "head").union(alone)
-        self._append("pages", good.where("page is not null").select("page", "ord", "item_id"))
-        firsts = hold(good.where("head is not null").groupBy("head").agg(F.min(F.struct("ord", "item_id")).alias("x")), "firsts")
-        names = heads.groupBy("head").agg(F.min("class").alias("class"))
-        kept = rows.join(small(firsts.select("head")), "head", "left_semi")
-        self._append("paragraphs", kept.select(F.explode(F.array_distinct("keys")).alias("key"), "head"))
-        self._append("sketches", kept.select("head", "bits"))
-        self._append("classes", firsts.join(names, "head").select("class", "head", "x.ord", "x.item_id"))
-        self.started = True
+        self._append("pages", good.where("page is not null").select("page", "ord", "item_id"), batch)
+        firsts = good.where("head is not null").groupBy("head").agg(F.min(first).alias("x")).select("head", "x.ord", "x.item_id")
+        kept = hold(rows.join(small(hold(firsts, "firsts")), "head"), "kept")
+        self._append("keys", kept.select(F.explode(F.array_distinct("keys")).alias("key"), "head"), batch)
+        self._append("heads", kept.select("head", "ord", "item_id", "bits", "triples"), batch)
+        self._save(uncommitted=[b for b in self.state["uncommitted"] if b != batch])
         hold.discard()
         return cases
 
-    def _links(self, rows: DataFrame, texts: DataFrame, threshold: float, hold: Scratch) -> DataFrame:
-        """Links (a, b) of similar texts, of which at least one is new, by shared paragraphs and bands.
+    def _links(self, rows: DataFrame, items: DataFrame, threshold: float, hold: Scratch) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b), both ways, between new texts, and (head, old_near) of those similar to stored ones: the earliest accepted item.
 
         All texts, new and stored, meet by the bands of their signatures, so that no pair hangs on an unedited paragraph.
         A paragraph in more than HOT texts is no key beside them. Pairs whose signatures differ too much are left out
-        before texts are compared.
+        before sets are compared. Links of a text that is surely a case to texts later than its partner are left out, too: they decide nothing.
         """
-        pool = rows.select(F.explode(F.array_distinct("keys")).alias("key"), "head", F.lit(True).alias("new"))
-        sketches = rows.select("head", "bits")
+        pool = rows.select(F.explode(F.array_distinct("keys")).alias("key"), "head")
+        counts = pool.groupBy("key").agg(F.count("*").alias("n"))
         if self.started:
-            asked = pool.select("key").repartition(self.buckets, "key").distinct()  # to the history's buckets, which stay where they are
-            pool = pool.union(self._table("paragraphs").join(asked, "key", "left_semi").select("key", "head", F.lit(False)))
-            sketches = sketches.union(self._table("sketches").select("head", "bits"))
+            stored = hold(self._ask("keys", counts.select("key")).select("key", "head"), "stored")
+            counts = counts.join(stored.groupBy("key").agg(F.count("*").alias("o")), "key", "left").select("key", (F.col("n") + F.coalesce("o", F.lit(0))).alias("n"), F.coalesce("o", F.lit(0)).alias("o"))
+        else:
+            counts = counts.withColumn("o", F.lit(0))
         band = F.col("key").bitwiseAND(F.lit(1)) == 1
-        count = pool.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new").where(band | (F.col("n") <= HOT))
-        usable = pool.join(count.select("key"), "key", "left_semi")
-        usable = hold(usable.join(sketches, "head").select("key", "head", "new", *(F.col("bits")[i].alias(f"b{i}") for i in range(SYMBOLS // 16))), "usable")
-        a = usable.where("new").select("key", F.col("head").alias("p"), *(F.col(f"b{i}").alias(f"p{i}") for i in range(SYMBOLS // 16)))
-        differing = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SYMBOLS // 16)), F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))))
-        pairs = a.join(usable, "key").where(F.expr("p != head and (p < head or not new)") & (differing <= MOST_BITS))
-        pairs = pairs.select(F.least("p", "head").alias("a"), F.greatest("p", "head").alias("b")).distinct()
-        return verified_pairs(hold(pairs, "pairs"), texts, threshold, hold)
+        counts = hold(counts.where("n > 1").where(band | (F.col("n") <= HOT)), "counts")
+        page_first = items.where("page is not null").groupBy("page").agg(F.min("ord").alias("page_ord"))
+        safe = F.col("page").isNull() | (F.col("old_page").isNull() & (F.col("ord") == F.col("page_ord")))
+        firsts = items.join(page_first, "page", "left").where("head is not null").groupBy("head").agg(F.min(F.struct("ord", safe.alias("safe"))).alias("x"))
+        sketches = rows.join(firsts, "head").select("head", "x.ord", "x.safe", *_bits("b"))
+        usable = hold(pool.join(counts.select("key", "o"), "key").join(sketches, "head"), "usable")
+        sets = rows.select(F.col("head").alias("id"), "triples")
+
+        none = self.spark.createDataFrame([], "head binary, old_near struct<ord: bigint, item_id: bigint>")
+        old_near = none
+        if self.started:
+            held = stored.join(counts.where("o > 0").select("key"), "key", "left_semi")
+            old = hold(self._ask("heads", held.select("head").distinct()).select("head", "ord", "item_id", "bits", "triples"), "old")
+            held = _renamed(held.join(old.select("head", *_bits("b")), "head"), "key", F.col("head").alias("b"))
+            met = usable.where("o > 0").join(held, "key").where(_alike()).select(F.col("head").alias("a"), "b").distinct()
+            near = with_similarity(hold(met, "met"), sets.union(old.select("head", "triples")), threshold)
+            near = near.join(old.select(F.col("head").alias("b"), F.struct("ord", "item_id").alias("x")), "b")
+            old_near = hold(near.groupBy(F.col("a").alias("head")).agg(F.min("x").alias("old_near")), "near")
+
+        settled = self._settled(usable, counts, sets, threshold, hold)
+        if settled is None:
+            settled = self.spark.createDataFrame([], "head binary, led bigint, lead binary")
+        sides = hold(usable.join(small(settled.select("head", "led")), "head", "left"), "sides")
+        later = _renamed(sides, "key", F.col("head").alias("b"), F.col("ord").alias("b_ord"), F.col("led").alias("b_led"))
+        pairs = sides.where("led is null").join(later, "key").where("ord < b_ord and (b_led is null or ord < b_led)").where(_alike())
+        pairs = hold(pairs.select(F.col("head").alias("a"), "b").distinct(), "pairs")
+        links = with_similarity(pairs, sets, threshold).select("a", "b").union(settled.select("lead", "head"))
+        return small(hold(links.union(links.select("b", "a")), "links")), old_near
+
+    def _settled(self, usable: DataFrame, counts: DataFrame, sets: DataFrame, threshold: float, hold: Scratch) -> DataFrame | None:
+        """(head, led, lead) of new texts in crowded keys that are similar to a text that is surely accepted, with its order; None if no key is crowded.
+
+        A text whose first item no page takes, that shares no key with the history and is the earliest in all its keys is accepted, so
+        whatever is similar to it is a case and takes no part in further links. Crowds of near copies are so compared with one text, not
+        with each other. Rounds go on while they settle something; what they leave is compared in pairs, so their number changes no result.
+        """
+        crowded = hold(usable.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+        if not crowded.limit(1).count():
+            return None
+        known = usable.groupBy("head").agg((F.max("o") > 0).alias("known"))
+        live = hold(usable.join(known, "head").withColumn("safe", F.col("safe") & ~F.col("known")).drop("known", "o"), "live")
+        settled = None
+        for _ in range(8):
+            first = live.groupBy("key").agg(F.min(F.struct("ord", "head")).alias("x"))
+            free = live.join(first, "key").groupBy("head").agg(F.every(F.col("safe") & (F.col("x.head") == F.col("head"))).alias("free")).where("free").select("head")
+            free = small(hold(free, "free"))
+            here = live.join(small(crowded), "key", "left_semi")
+            leads = _renamed(here.join(free, "head", "left_semi"), "key", F.col("head").alias("lead"), F.col("ord").alias("led"))
+            met = here.join(leads, "key").where("head <> lead").where(_alike()).select("head", "lead", "led").distinct()
+            met = hold(met, "led")
+            found = with_similarity(met.select(F.col("lead").alias("a"), F.col("head").alias("b")), sets, threshold).select(F.col("b").alias("head"), F.col("a").alias("lead"))
+            found = found.join(met, ["head", "lead"]).groupBy("head").agg(F.min(F.struct("led", "lead")).alias("x")).select("head", "x.led", "x.lead")
+            found = hold(found, "settled")
+            if not found.limit(1).count():
+                break
+            settled = found if settled is None else settled.union(found)
+            live = hold(live.join(small(found.select("head")), "head", "left_anti").join(free, "head", "left_anti"), "live")
+        return settled
 
     @staticmethod
     def _partners(state: DataFrame, both: DataFrame) -> DataFrame:
-        """``state`` and, by page, by class and by linked classes: the least ord of items that aren't cases, the earliest accepted item."""
+        """``state`` and, by page, by text and by linked texts: the least ord of items that aren't cases, the earliest accepted item."""
         live = state.where("not case")
         page = live.where("page is not null").groupBy("page").agg(F.min("ord").alias("page_ord"), _first("page_first"))
         head = live.where("head is not null").groupBy("head").agg(F.min("ord").alias("head_ord"), _first("head_first"))
@@ -292,6 +412,8 @@ def repeated_items(items: DataFrame, runs: DataFrame, texts: DataFrame, steps: i
         if hi is not None:
             part = part.where(F.col("batch_no") <= hi)
         found.append(history.admit(part, texts, threshold))
+    history.close()
+    delete(spark, history.path)
     result = found[0]
     for more in found[1:]:
         result = result.union(more)

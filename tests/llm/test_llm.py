@@ -143,9 +143,116 @@ def test_p1_history_is_bucketed_and_empty_runs_pass(spark, texts):
     history.admit(first, text_df)
     cases = history.admit(spark.createDataFrame([(100, 100, 4, "https://b.example/"), (101, 101, None, "http://a.example/5/"), (102, 102, None, None)], shape), text_df)
     assert {r.item_id for r in cases.collect()} == {100, 101}
-    new = spark.createDataFrame([(5,)], "key long")
-    plan = history._table("paragraphs").join(new.repartition(4, "key").hint("merge"), "key")._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    history.close()
+
+
+def shuffled_scans(df, table):
+    """Nodes above each scan of a table of the history, up to the join it feeds."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if "Scan parquet" in line and table in line:
+            depth, above = line.index("Scan parquet"), []
+            for up in reversed(lines[:i]):
+                at = len(up) - len(up.lstrip(" :+-*"))
+                if at < depth:
+                    depth = at
+                    above.append(up.lstrip(" :+-*"))
+                    if "Join" in up:
+                        break
+            out.append((line, above))
+    return out
+
+
+def test_p1_history_is_not_shuffled(spark, texts):
+    """A new batch is shuffled to the buckets; of the history's tables none is, and its texts aren't read again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        history = history_dedup.AcceptedHistory(spark, buckets=4)
+        shape = "item_id long, ord long, document_id long, url string"
+        text_df = spark.createDataFrame(list(texts.items()), "id long, text string")
+        history.admit(spark.createDataFrame([(i, i, i, f"https://a.example/{i}") for i in range(60)], shape), text_df)
+        for table, kind in (("pages", "long"), ("keys", "long"), ("heads", "binary")):
+            key = history.TABLES[table].split()[0]
+            asked = spark.createDataFrame([], f"{key} {kind}").distinct()
+            scans = shuffled_scans(history._ask(table, asked), f"_{table}")
+            assert len(scans) == 1 and "Bucketed: true" in scans[0][0] and not any("Exchange" in x for x in scans[0][1]), scans
+        # a later batch brings only its own texts; the stored sets answer for the history's
+        near = edited(random.Random(1), texts[0], 0.03)
+        cases = history.admit(spark.createDataFrame([(100, 100, 1000, None)], shape), spark.createDataFrame([(1000, near)], "id long, text string"))
+        assert [tuple(r) for r in cases.collect()] == [(0, 100)]
+        history.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_p1_history_is_durable(spark, texts, tmp_path, monkeypatch):
+    shape = "item_id long, ord long, document_id long, url string"
+    text_df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    path = str(tmp_path / "history")
+
+    def batch(lo, hi):
+        return spark.createDataFrame([(i, i, i, f"https://a.example/{i % 31}") for i in range(lo, hi)], shape)
+
+    first = history_dedup.AcceptedHistory(spark, path, buckets=3)
+    got = {r.item_id: r.accepted_id for r in first.admit(batch(0, 30), text_df).collect()}
+    broken = history_dedup.AcceptedHistory(spark, path)
+    append = broken._append
+    monkeypatch.setattr(broken, "_append", lambda table, *a: append(table, *a) if table != "heads" else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        broken.admit(batch(30, 50), text_df)
+    for table in first.TABLES:  # another session knows nothing of the tables
+        spark.sql(f"DROP TABLE IF EXISTS {first.name}_{table}")
+    again = history_dedup.AcceptedHistory(spark, path)
+    assert again.started and again.state["uncommitted"] == [1]
+    got |= {r.item_id: r.accepted_id for r in again.admit(batch(30, 50), text_df).collect()}
+    again.compact(buckets=5)
+    assert again.buckets == 5 and again.state["uncommitted"] == []
+    got |= {r.item_id: r.accepted_id for r in again.admit(batch(50, len(texts)), text_df).collect()}
+    assert got == greedy([(i, i, f"https://a.example/{i % 31}", i) for i in texts], texts)
+    again.close()
+
+
+def test_p1_crowds_of_near_copies(spark, monkeypatch):
+    """120 edited copies of two texts, a third of them with addresses of earlier items: crowds are settled by their earliest text."""
+    monkeypatch.setattr(history_dedup, "CROWD", 8)
+    rng = random.Random(17)
+    bases = [prose(rng, 9), prose(rng, 9)]
+    rows = {i: edited(rng, bases[i % 2], rng.choice([0.0, 0.02, 0.05, 0.12])) for i in range(120)}
+    url = {i: f"https://a.example/{i // 7}" if i % 3 == 0 else None for i in rows}
+    shape = "item_id long, ord long, document_id long, url string"
+    texts_ = spark.createDataFrame(list(rows.items()), "id long, text string")
+    want = greedy([((0, i), i, url[i], i) for i in rows], rows)
+    for parts in ([range(120)], [range(3), range(3, 120)]):
+        history, got = history_dedup.AcceptedHistory(spark, buckets=3), {}
+        for part in parts:
+            got |= {r.item_id: r.accepted_id for r in history.admit(spark.createDataFrame([(i, i, i, url[i]) for i in part], shape), texts_).collect()}
+        assert got == want
+        history.close()
+
+
+def test_p1_recall_on_evenly_edited_texts(spark):
+    """Copies with evenly spaced substitutions, at a similarity of about 0.6, through the operator; at least 95 of 100 must be found at each length."""
+    rng = random.Random(31)
+    vocab = [a + b for a in VOCAB for b in VOCAB]
+    rows, pairs = {}, {}
+    for words, stops in ((24, False), (40, True), (60, False), (100, True), (200, False), (400, True)):
+        want = len(pairs) + 60
+        while len(pairs) < want:
+            w = rng.choices(vocab, k=words)
+            other = [rng.choice(vocab) if i % 12 == 6 else x for i, x in enumerate(w)]
+            a, b = (" ".join(x + ("." if stops and i % 12 == 11 else "") for i, x in enumerate(t)) for t in (w, other))
+            if similarity(a, b) >= 0.5:
+                i = len(pairs)
+                rows[i], rows[1000 + i], pairs[1000 + i] = a, b, i
+    texts_ = spark.createDataFrame(list(rows.items()), "id long, text string")
+    items = spark.createDataFrame([(i, i, i, None) for i in rows], "item_id long, ord long, document_id long, url string")
+    history = history_dedup.AcceptedHistory(spark, buckets=3)
+    got = {r.item_id: r.accepted_id for r in history.admit(items, texts_).collect()}
+    history.close()
+    for lo in range(0, 360, 60):
+        assert sum(got.get(1000 + i) == i for i in range(lo, lo + 60)) >= 57
 
 
 def test_p1_hot_paragraph(spark, monkeypatch):
