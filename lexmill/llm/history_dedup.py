@@ -251,7 +251,7 @@ class AcceptedHistory:
         items = items.select("item_id", "ord", "document_id", "url").where("item_id is not null").dropDuplicates(["item_id"])
         items = hold(items.mapInArrow(_pages, "item_id long, ord long, document_id long, page long"), "items")
         wanted = small(hold(items.where("document_id is not null").select(F.col("document_id").alias("id")).distinct(), "wanted"))
-        feats = hold(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_features, FEATURES), "features")
+        feats = hold(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_features, FEATURES).withColumn("tag", F.monotonically_increasing_id()), "features")
         items = items.join(feats.groupBy(F.col("id").alias("document_id")).agg(F.min("head").alias("head")), "document_id", "left")
         first = F.struct("ord", "item_id")
         if self.started:
@@ -263,8 +263,9 @@ class AcceptedHistory:
             items = items.withColumns(dict.fromkeys(("old_page", "old_head"), F.lit(None).cast("struct<ord: bigint, item_id: bigint>")))
         items = hold(items.select("item_id", "ord", "page", "head", "old_page", "old_head"), "headed")
 
-        fresh = small(hold(items.where("head is not null and old_head is null").select("head").distinct(), "fresh"))
-        rows = hold(feats.join(fresh, "head", "left_semi").dropDuplicates(["head"]).drop("id"), "rows")
+        fresh = feats.select("head", "tag").join(items.where("head is not null and old_head is null").select("head").distinct(), "head", "left_semi")
+        fresh = small(hold(fresh.groupBy("head").agg(F.min("tag").alias("tag")), "fresh"))  # one row of features for each text, chosen by narrow columns
+        rows = hold(feats.join(fresh.select("tag"), "tag", "left_semi").drop("id", "tag"), "rows")
         both, old_near = self._links(rows, items, threshold, hold)
         items = hold(items.join(old_near, "head", "left").select("item_id", "ord", "page", "head", F.least("old_page", "old_head", "old_near").alias("old")), "asked")
 
@@ -312,7 +313,7 @@ class AcceptedHistory:
         else:
             counts = counts.withColumn("o", F.lit(0))
         band = F.col("key").bitwiseAND(F.lit(1)) == 1
-        counts = hold(counts.where("n > 1").where(band | (F.col("n") <= HOT)), "counts")
+        counts = small(hold(counts.where("n > 1").where(band | (F.col("n") <= HOT)), "counts"))
         page_first = items.where("page is not null").groupBy("page").agg(F.min("ord").alias("page_ord"))
         safe = F.col("page").isNull() | (F.col("old_page").isNull() & (F.col("ord") == F.col("page_ord")))
         firsts = items.join(page_first, "page", "left").where("head is not null").groupBy("head").agg(F.min(F.struct("ord", safe.alias("safe"))).alias("x"))
@@ -334,7 +335,9 @@ class AcceptedHistory:
         settled = self._settled(usable, counts, sets, threshold, hold)
         if settled is None:
             settled = self.spark.createDataFrame([], "head binary, led bigint, lead binary")
-        sides = hold(usable.join(small(settled.select("head", "led")), "head", "left"), "sides")
+            sides = usable.withColumn("led", F.lit(None).cast("bigint"))
+        else:
+            sides = hold(usable.join(small(settled.select("head", "led")), "head", "left"), "sides")
         later = _renamed(sides, "key", F.col("head").alias("b"), F.col("ord").alias("b_ord"), F.col("led").alias("b_led"))
         pairs = sides.where("led is null").join(later, "key").where("ord < b_ord and (b_led is null or ord < b_led)").where(_alike())
         pairs = hold(pairs.select(F.col("head").alias("a"), "b").distinct(), "pairs")
@@ -346,30 +349,36 @@ class AcceptedHistory:
 
         A text whose first item no page takes, that shares no key with the history and is the earliest in all its keys is accepted, so
         whatever is similar to it is a case and takes no part in further links. Crowds of near copies are so compared with one text, not
-        with each other. Rounds go on while they settle something; what they leave is compared in pairs, so their number changes no result.
+        with each other. Rounds go on while they settle a quarter of the crowds' texts, so there are at most four; what they leave is compared
+        in pairs, so their number changes no result.
         """
         crowded = hold(usable.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
         if not crowded.limit(1).count():
             return None
-        known = usable.groupBy("head").agg((F.max("o") > 0).alias("known"))
-        live = hold(usable.join(known, "head").withColumn("safe", F.col("safe") & ~F.col("known")).drop("known", "o"), "live")
-        settled = None
-        for _ in range(8):
+        crowded = small(crowded)
+        members = small(hold(usable.join(crowded, "key", "left_semi").select("head").distinct(), "members"))
+        theirs = usable.join(members, "head", "left_semi")
+        known = small(hold(theirs.where("o > 0").select("head").distinct(), "known"))
+        unsafe = theirs.where("not safe").select("head").distinct().union(known)
+        keys = small(hold(theirs.select("key").distinct(), "around"))
+        live = hold(usable.join(keys, "key", "left_semi").drop("o", "safe"), "live")  # with texts outside the crowds that are earlier in a key
+        settled, at_least = None, members.count() / 4
+        while True:
             first = live.groupBy("key").agg(F.min(F.struct("ord", "head")).alias("x"))
-            free = live.join(first, "key").groupBy("head").agg(F.every(F.col("safe") & (F.col("x.head") == F.col("head"))).alias("free")).where("free").select("head")
-            free = small(hold(free, "free"))
-            here = live.join(small(crowded), "key", "left_semi")
+            free = live.join(members, "head", "left_semi").join(first, "key").groupBy("head").agg(F.every(F.col("x.head") == F.col("head")).alias("free")).where("free").select("head")
+            free = small(hold(free.join(unsafe, "head", "left_anti"), "free"))
+            here = live.join(crowded, "key", "left_semi")
             leads = _renamed(here.join(free, "head", "left_semi"), "key", F.col("head").alias("lead"), F.col("ord").alias("led"))
-            met = here.join(leads, "key").where("head <> lead").where(_alike()).select("head", "lead", "led").distinct()
-            met = hold(met, "led")
+            met = hold(here.join(leads, "key").where("head <> lead").where(_alike()).select("head", "lead", "led").distinct(), "led")
             found = with_similarity(met.select(F.col("lead").alias("a"), F.col("head").alias("b")), sets, threshold).select(F.col("b").alias("head"), F.col("a").alias("lead"))
             found = found.join(met, ["head", "lead"]).groupBy("head").agg(F.min(F.struct("led", "lead")).alias("x")).select("head", "x.led", "x.lead")
             found = hold(found, "settled")
-            if not found.limit(1).count():
-                break
-            settled = found if settled is None else settled.union(found)
+            n = found.count()
+            if n:
+                settled = found if settled is None else settled.union(found)
+            if n <= at_least:
+                return settled
             live = hold(live.join(small(found.select("head")), "head", "left_anti").join(free, "head", "left_anti"), "live")
-        return settled
 
     @staticmethod
     def _partners(state: DataFrame, both: DataFrame) -> DataFrame:
