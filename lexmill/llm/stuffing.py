@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import word_list, written
 
 #: Function words of the trained languages, beside those of the table (fixed values).
 FUNCTION_WORDS = (
@@ -285,12 +285,11 @@ def page_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
 
     bits: mean bits a word class over the document. odd_chars: characters in segments whose perplexity is abnormally high or low
     for their length. stuffed_chars: those of them that also show repetition or bare links. Null and blank texts have no row.
-    ``words`` (word): common words, at most 2,000. Repeated rows count once. Texts are read once, into a
+    ``words`` (word): common words, at most 2,000; more raise an error. Repeated rows count once. Texts are read once, into a
     written table of class numbers; training, thresholds and scores are array passes over it.
     """
     sc = docs.sparkSession.sparkContext
-    function = {r[0] for r in words.select(F.lower("word")).where("word is not null").distinct().limit(MOST_WORDS).collect()} | set(FUNCTION_WORDS.split())
-    function = sorted(w for w in function if w)
+    function = sorted({*word_list(words, MOST_WORDS), *FUNCTION_WORDS.split()})
     size = len(CLASSES) + len(function)
     table = written(encoded(docs, function), "classes")
     shared = sc.broadcast(class_model(table, size))  # at most size squared numbers, and the trigrams there are

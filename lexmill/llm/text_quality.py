@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, word_list, written
 
 #: Inspected examples, invented: the kind of each component of the mixture, its name, and blocks that belong to it.
 EXAMPLES: list[tuple[str, str, list[str]]] = [
@@ -80,7 +80,8 @@ EXAMPLES: list[tuple[str, str, list[str]]] = [
 ]
 KINDS = [k for k, _, _ in EXAMPLES]
 N_FEATURES = 14
-ROUNDS, PRIOR_SHARE, FLOOR = 12, 0.004, 0.08
+#: Rounds at most, and nats a block that a round must gain for another to follow; weight of the examples; least variance.
+ROUNDS, LEAST_GAIN, PRIOR_SHARE, FLOOR = 12, 0.02, 0.004, 0.08
 #: Common words that are used at most.
 MOST_WORDS = 100_000
 
@@ -240,10 +241,13 @@ def _log_density(x: np.ndarray, model: dict) -> np.ndarray:
     return model["const"] - 0.5 * y.reshape(len(x), k, N_FEATURES).sum(2)
 
 
-def _shares(x: np.ndarray, model: dict) -> np.ndarray:
+def _shares(x: np.ndarray, model: dict) -> tuple[np.ndarray, float]:
+    """Each component's share of each row, and the log likelihood of all rows."""
     log = _log_density(x, model)
-    p = np.exp(log - log.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    top = log.max(1, keepdims=True)
+    p = np.exp(log - top)
+    whole = p.sum(1, keepdims=True)
+    return p / whole, float((top + np.log(whole)).sum())
 
 
 def _matrix(column) -> np.ndarray:
@@ -274,7 +278,7 @@ def fit_mixture(blocks_: DataFrame, common: set[str], letters: tuple[np.ndarray,
 
     Each round is one pass in which tasks sum the moments of their blocks. There is a component for each set of examples,
     which starts at their mean; the examples stay in the sums with 0.4 % of the weight of all blocks each, so that a
-    component keeps its meaning. An empty table leaves the components where the examples put them.
+    component keeps its meaning. Rounds end when one gains less than LEAST_GAIN nats a block. An empty table leaves the components where the examples put them.
     """
     d, k = N_FEATURES, len(EXAMPLES)
     moments = _summed(blocks_, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
@@ -314,7 +318,7 @@ def fit_mixture(blocks_: DataFrame, common: set[str], letters: tuple[np.ndarray,
         const = np.log(weight / weight.sum()) - np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(1)
         return {"weight": weight, "white": white.reshape(k * d, d).T.copy(), "shift": np.einsum("kij,kj->ki", white, mean).ravel(), "const": const, "centre": centre, "scale": scale}
 
-    model = model_of(base)
+    model, before = model_of(base), -np.inf
     for _ in range(rounds if n else 0):
         now = model
 
@@ -323,10 +327,15 @@ def fit_mixture(blocks_: DataFrame, common: set[str], letters: tuple[np.ndarray,
             out = 0
             for lo in range(0, len(z), 20_000):
                 part = z[lo : lo + 20_000]
-                out = out + moved(part, _shares(part, now))
+                shares, likelihood = _shares(part, now)
+                out = out + np.append(moved(part, shares), likelihood)
             return out
 
-        model = model_of(base + _summed(blocks_, step, len(base)))
+        total = _summed(blocks_, step, len(base) + 1)
+        model = model_of(base + total[:-1])
+        if total[-1] - before < LEAST_GAIN * n:
+            break
+        before = total[-1]
     return model
 
 
@@ -334,11 +343,12 @@ def document_kinds(docs: DataFrame, words: DataFrame, least_chars: int = 1, roun
     """(id, chars, prose, other, list, table, log, data, junk): characters of each document (id, text) by kind of block.
 
     A block's characters go to the kind of the component it most probably belongs to. Repeated rows count once. ``words`` (word) are
-    the common words, at most 100,000 of them. Null and blank texts and texts under ``least_chars`` have no row.
+    the common words, at most 100,000 of them (more raise an error). Null and blank texts and texts under ``least_chars`` have no row.
     """
-    common = {r[0] for r in words.select(F.lower("word")).where("word is not null").distinct().limit(MOST_WORDS).collect()}
+    common = set(word_list(words, MOST_WORDS))
     letters = fit_letters(docs)
-    blocks_ = written(block_table(docs, common, letters, least_chars), "blocks")
+    hold = Scratch()
+    blocks_ = hold(block_table(docs, common, letters, least_chars), "blocks")
     model = fit_mixture(blocks_, common, letters, rounds)
     kinds = sorted(set(KINDS))
     column = np.array([kinds.index(x) for x in KINDS])
@@ -349,13 +359,15 @@ def document_kinds(docs: DataFrame, words: DataFrame, least_chars: int = 1, roun
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = _shares((_matrix(batch.column(2)) - model["centre"]) / model["scale"], model)
+            p = _shares((_matrix(batch.column(2)) - model["centre"]) / model["scale"], model)[0]
             of_kind = np.stack([p[:, column == j].sum(1) for j in range(len(kinds))], 1).argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of_kind.astype(np.int32))], ["id", "chars", "kind"])
 
     rows = blocks_.mapInArrow(run, "id long, chars long, kind int")
     sums = [F.coalesce(F.sum(F.when(F.col("kind") == j, F.col("chars"))), F.lit(0)).alias(x) for j, x in enumerate(kinds)]
-    return rows.groupBy("id").agg(F.sum("chars").alias("chars"), *sums)
+    found = written(rows.groupBy("id").agg(F.sum("chars").alias("chars"), *sums), "kinds")
+    hold.discard()
+    return found
 
 
 def not_prose(docs: DataFrame, words: DataFrame, least_chars: int = 100) -> DataFrame:
@@ -374,7 +386,7 @@ def statistics(docs: DataFrame, words: DataFrame) -> DataFrame:
     ws = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"[\s\x{a0}]", "") != "")
     n, solid = F.size("ws"), F.length(F.regexp_replace(text, r"[\s\x{a0}]", ""))
-    common = [r[0] for r in words.where("word is not null").select(F.lower("word")).distinct().limit(MOST_WORDS).collect()]
+    common = word_list(words, MOST_WORDS)
     return (
         docs.select("id", "text").distinct()
         .select("id", ws.alias("ws"), lines.alias("lines"), solid.alias("solid"), F.length(F.regexp_replace(text, r"[\s\x{a0}\p{L}\p{N}]", "")).alias("symbols"))

@@ -83,6 +83,40 @@ def test_p4_allocation_is_cheapest():
             assert sum(e[k] + 1) >= need and sum(cost[int(x)][i] for i, x in enumerate(e[k])) == best
 
 
+@pytest.mark.parametrize(("shared", "gains"), [(0, 39), (9, 39), (12, 36), (16, 32)])
+def test_p4_shared_symbols_bring_few_candidates(shared, gains):
+    """20,000 unrelated signatures, some symbols of which all records share: candidates a record by the operator's own probes and exact counts."""
+    import numpy as np
+
+    rng = np.random.RandomState(shared)
+    sig = rng.randint(-(2**31), 2**31, (20_000, near_dup.SYMBOLS), np.int64).astype(np.int32)
+    sig[:, :shared] = np.arange(shared)
+    cells = np.zeros(near_dup.CELLS, np.int64)
+    for keys in near_dup.partition_keys(sig):
+        np.add.at(cells, (keys >> np.uint64(44)).astype(np.int64).ravel(), 1)
+    keys, probed, _, got = near_dup.probes(sig, cells)
+    counts = dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True))
+    met = sum(counts[k] - 1 for k in keys[probed].tolist())
+    assert met < 200 * len(sig) and np.median(got) == gains
+
+
+def test_p4_recall_under_a_template(spark, monkeypatch):
+    """All texts share a template of about a quarter of their words, so that shared symbols are given up and keys are spread."""
+    monkeypatch.setattr(near_dup, "BUDGET", 10)
+    monkeypatch.setattr(near_dup, "SPREAD", 50)
+    rng = random.Random(41)
+    vocab = [a + b for a in VOCAB for b in VOCAB]
+    template, rows = " ".join(rng.choices(vocab, k=50)), {}
+    for i in range(150):
+        own = rng.choices(vocab, k=90)
+        rows[i] = template + " " + " ".join(own)
+        if i < 60:
+            rows[1000 + i] = template + " " + " ".join(rng.choice(vocab) if rng.random() < 0.08 else w for w in own)
+    want = pairs_of(rows)
+    got = {(r.id_a, r.id_b) for r in near_dup.similar_pairs(spark.createDataFrame(list(rows.items()), "id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 60
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
