@@ -133,6 +133,49 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "terms", "postings", "term_stats", "scope_stats")))
 
 
+def write_delta(index: Index, path: str, changed: DataFrame | None = None, gone: DataFrame | None = None, analyze: Analyzer = analyze) -> None:
+    """What ``changed`` documents (new, or in place of those of the same id) and ``gone`` ids make of ``index``, below ``path``, which must not exist.
+
+    Only the changed documents are analyzed, and of the index only the terms of the documents that go are read; its tables stay as they
+    are. Term statistics are written as changes, corpus statistics anew (a row for each scope). A document both changed and gone is changed.
+    """
+    spark = index.docs.sparkSession
+    docs = clean_corpus(changed) if changed is not None else index.docs.limit(0)
+    docs.write.parquet(f"{path}/docs")
+    docs = spark.read.schema(docs.schema).parquet(f"{path}/docs")
+    document_terms(docs, analyze).write.partitionBy("scope").parquet(f"{path}/terms")
+    terms = _scoped(spark, f"{path}/terms", index.terms)
+    named = docs.select("id") if gone is None else docs.select("id").union(gone.select(F.col("id").cast(docs.schema["id"].dataType)).where("id is not null"))
+    named.distinct().write.parquet(f"{path}/gone")
+    old = index.terms.join(spark.read.schema(named.schema).parquet(f"{path}/gone"), "id", "left_semi").select("scope", "id", "terms")
+    posts = postings(terms)
+    posts.sortWithinPartitions("scope", "term", "id").write.partitionBy("scope").parquet(f"{path}/postings")
+    new_df = _scoped(spark, f"{path}/postings", index.postings).select("scope", "term", F.lit(1).alias("df"))
+    lost_df = old.select("scope", F.explode(F.array_distinct("terms")).alias("term"), F.lit(-1).alias("df"))
+    new_df.union(lost_df).groupBy("scope", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.partitionBy("scope").parquet(f"{path}/term_stats")
+    moved = document_lengths(terms).select("scope", F.lit(1).alias("n"), "dl").union(document_lengths(old).select("scope", F.lit(-1), -F.col("dl"))).groupBy("scope").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    n, dl = F.col("n_docs") + F.coalesce("n", F.lit(0)), F.round(F.col("avg_dl") * F.col("n_docs")) + F.coalesce("dl", F.lit(0))
+    stats = index.scope_stats.join(moved, "scope", "full").select("scope", F.coalesce(n, F.col("n")).cast("long").alias("n_docs"), F.coalesce(dl / F.nullif(n, F.lit(0)), F.col("dl") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avg_dl"))
+    stats.where("n_docs > 0").coalesce(1).write.parquet(f"{path}/scope_stats")
+
+
+def _scoped(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A table that lies by scope, with the columns and types of another, also where it has no files."""
+    return spark.read.schema(like.select(*[c for c in like.columns if c != "scope"], "scope").schema).parquet(path).select(like.columns)
+
+
+def with_delta(index: Index, path: str) -> Index:
+    """``index`` as ``write_delta`` changed it. Conditions on scope and term reach the scans of both; deltas may follow each other, until
+    the whole is written anew."""
+    spark = index.docs.sparkSession
+    gone = spark.read.schema(index.docs.select("id").schema).parquet(f"{path}/gone")
+    docs = index.docs.join(gone, "id", "left_anti").unionByName(spark.read.schema(index.docs.schema).parquet(f"{path}/docs"))
+    terms, posts = (df.join(gone, "id", "left_anti").select(df.columns).union(_scoped(spark, f"{path}/{t}", df)) for t, df in (("terms", index.terms), ("postings", index.postings)))
+    changes = _scoped(spark, f"{path}/term_stats", index.term_stats)
+    stats = index.term_stats.union(changes).groupBy("scope", "term").agg(F.sum("df").alias("df")).where("df > 0").select(index.term_stats.columns)
+    return Index(docs, terms, posts, stats, spark.read.schema(index.scope_stats.schema).parquet(f"{path}/scope_stats"))
+
+
 def upserted(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The corpus with ``changed`` documents in place of those of the same id."""
     return docs.join(changed.select("id"), "id", "left_anti").unionByName(changed.select(docs.columns))

@@ -107,6 +107,32 @@ def _snippet(hit: str) -> str:
     return f"substring(coalesce(list_filter({_SNIP}, lambda p: {hit})[1], content), 1, 180)"
 
 
+#: Names of parameters that are dropped, and schemes, by kind of source.
+_KINDS = {"medium": ("utm_.*|source|ref|sk|from", "'http', 'https'"), "rss": ("utm_.*|source|ref|from|feed", "'https'")}
+
+
+def _canonical(c: str, kind: str) -> str:
+    tracking, schemes = _KINDS[kind]
+    u = _strip(c)
+    scheme, authority = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\\-]*)://', 1))", f"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
+    path, query = f"regexp_extract({u}, '^[^:]*://[^/?#]*([^?#]*)', 1)", f"regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1)"
+    pairs = f"list_transform(list_filter(string_split({query}, '&'), lambda p: p <> ''), lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(substr(p, length(split_part(p, '=', 1)) + 2), '+', ' '))])"
+    kept = f"list_filter({pairs}, lambda p: NOT regexp_full_match(lower(p[1]), '{tracking}'))"
+    joined = f"array_to_string(list_transform({kept}, lambda p: replace(url_encode(p[1]), '%20', '+') || '=' || replace(url_encode(p[2]), '%20', '+')), '&')"
+    return f"CASE WHEN {scheme} IN ({schemes}) AND {authority} <> '' THEN {scheme} || '://' || {authority} || coalesce(nullif({path}, ''), '/') || coalesce('?' || nullif({joined}, ''), '') END"
+
+
+_PUBLICATION = "regexp_extract(seed_url, '^https://[^/]+(/[^/]*)', 1)"
+_SHARED = "regexp_replace(lower(regexp_extract({}, '^(?i:(https://[^/?#]*))', 1)), ':443$', '')"
+_LINKS = """links AS (SELECT 'root' AS parent, 'category' AS kind, r_regionkey AS position, CAST(NULL AS BIGINT) AS page_id, r_name AS title FROM region
+UNION ALL SELECT r_name, 'category', n_nationkey, NULL, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT n_name, 'page', s_suppkey, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT n_name, 'category', length(c_mktsegment), NULL, n_name || '/' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_IMPORTED = f"""WITH {_CLASSIFIED} SELECT (SELECT max(id) FROM document_responses) + row_number() OVER (ORDER BY job_id, position, v.id) AS id, v.t AS title, {{content}}c.url, 'active' AS status
+FROM classified c JOIN valid v USING (job_id, position, id) WHERE status = 'imported'"""
+_CATEGORY = f"CASE WHEN starts_with(lower({_strip('title')}), 'category:') THEN {_strip('substr(' + _strip('title') + ', 10)')} ELSE {_strip('title')} END"
+
+
 def oracle_sql() -> dict[str, str]:
     base = f"WITH {INDEX} "
     bm25 = _batch("bm25")
@@ -165,7 +191,7 @@ substring(trim(regexp_replace(content, '{_W}+', ' ', 'g'), ' '), 1, 80) AS messa
         "crawl_bfs_pages": """SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey, s_suppkey) - 1 AS position, s_suppkey AS page_id, s_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 QUALIFY position < 40""",
         "crawl_capped": """WITH once AS (SELECT job_id, canonical_url, position, id FROM (SELECT DISTINCT job_id, canonical_url, position, id FROM crawl_items WHERE canonical_url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY job_id, canonical_url ORDER BY position, id) = 1)
-SELECT job_id, position, id, canonical_url, row_number() OVER (PARTITION BY job_id ORDER BY position, id) AS n FROM once JOIN crawl_runs USING (job_id) QUALIFY n <= least(max_articles, 100)""",
+SELECT job_id, position, id, canonical_url, row_number() OVER (PARTITION BY job_id ORDER BY position, id) AS n FROM once JOIN crawl_runs USING (job_id) QUALIFY n <= max_articles""",
         "crawl_counts": f"""WITH {_OUTCOMES}, c AS (SELECT job_id, count(id) AS discovered, count(*) FILTER (fetch_status = 'fetched') AS fetched, count(*) FILTER (o.status = 'imported') AS imported, count(*) FILTER (o.status = 'skipped') AS skipped,
   count(*) FILTER (fetch_status = 'failed') AS fetch_failed, count(*) FILTER (o.status = 'failed') AS ingestion_failed FROM x LEFT JOIN outcomes o USING (ingestion_item_id) GROUP BY job_id)
 SELECT *, fetch_failed + ingestion_failed AS failed, fetch_failed + ingestion_failed + imported + skipped AS terminal FROM c""",
@@ -180,6 +206,33 @@ SELECT canonical_url, id, (SELECT max(id) + 1 FROM have) + row_number() OVER (OR
         "job_progress": "SELECT job_id, count(*) FILTER (fetch_status <> 'pending') AS current, count(*) AS total, round(count(*) FILTER (fetch_status <> 'pending') / count(*) * 100, 2) AS percentage FROM (SELECT DISTINCT * FROM crawl_items) GROUP BY job_id",
         "embedded_pages": """SELECT DISTINCT id, CASE WHEN embedded_content IS NOT NULL AND embedded_content <> '' THEN '<html><head><link rel="canonical" href="' || e(canonical_url) || '"><meta property="og:title" content="' || e(coalesce(nullif(title, ''), 'Article')) || '"></head><body><article>' || embedded_content || '</article></body></html>' END AS html FROM crawl_items""".replace(
             "e(canonical_url)", _escaped("canonical_url")).replace("e(coalesce(nullif(title, ''), 'Article'))", _escaped("coalesce(nullif(title, ''), 'Article')")),
+        "canonical_urls": f"SELECT DISTINCT id, {_canonical('discovered_url', 'medium')} AS medium, {_canonical('discovered_url', 'rss')} AS rss FROM crawl_items",
+        "wikipedia_urls": f"""WITH x AS (SELECT DISTINCT page_id, title, {_CATEGORY} AS c FROM fetched_wikipedia_articles)
+SELECT DISTINCT page_id, 'https://en.wikipedia.org/wiki/' || replace(replace(url_encode(replace(title, ' ', '_')), '%28', '('), '%29', ')') AS url,
+CASE WHEN c <> '' AND NOT regexp_matches({_strip('title')}, '[\\x00-\\x1f\\x7f]') AND NOT (regexp_matches(c, '^[A-Za-z][A-Za-z0-9+.\\-]*:\\S*$') AND NOT regexp_matches(c, '^[A-Za-z][A-Za-z0-9+.\\-]*::')) AND NOT starts_with(c, '//') AND length(c) <= 246 THEN 'Category:' || c END AS category FROM x""",
+        "publication_scope": f"""WITH x AS (SELECT DISTINCT i.id, discovered_url AS u, seed_url, regexp_extract(seed_url, '^(https://[^/]+)', 1) AS origin, {_PUBLICATION} AS path FROM crawl_items i JOIN crawl_runs USING (job_id)),
+y AS (SELECT *, coalesce(regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1), '') AS p, coalesce({_SHARED.format('u')}, '') AS a, {_SHARED.format('seed_url')} AS b FROM x)
+SELECT DISTINCT id, a = b AND a <> '' AS same_origin, coalesce('https://' || lower(regexp_extract(u, '^https://([^/:?#]*)', 1)) = origin AND p NOT IN ('/feed', '/sitemap.xml', '/robots.txt'), FALSE) AS own,
+coalesce(starts_with(u, 'https://') AND starts_with(p, path || '/'), FALSE) AS section FROM y""",
+        "parse_feed": f"""WITH items AS (SELECT DISTINCT * FROM crawl_items), x AS (SELECT batch_no AS feed_id, position, nullif(array_to_string(list_filter(string_split(regexp_replace(coalesce(source_item_id, ''), '\\s+', ' ', 'g'), ' '), lambda t: t <> ''), ' '), '') AS guid,
+  array_to_string(list_filter(string_split(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'), ' '), lambda t: t <> ''), ' ') AS title, regexp_replace(regexp_replace({_strip('discovered_url')}, '\\?(#|$)', '\\1'), '#$', '') AS discovered_url, {_canonical('discovered_url', 'rss')} AS canonical_url FROM items JOIN crawl_runs USING (job_id))
+SELECT feed_id, row_number() OVER (PARTITION BY feed_id ORDER BY position) - 1 AS position, coalesce(guid, canonical_url) AS source_item_id, title, discovered_url, canonical_url, CAST(NULL AS VARCHAR) AS embedded_content, CAST(NULL AS VARCHAR) AS error
+FROM x WHERE title <> '' AND canonical_url IS NOT NULL""",
+        "parse_sitemap": """WITH x AS (SELECT DISTINCT batch_no, batch_no * 1000 + position // 100 AS feed_id, position, trim(discovered_url) AS url FROM crawl_items JOIN crawl_runs USING (job_id))
+SELECT feed_id, CASE WHEN batch_no % 2 = 1 THEN 'sitemap' ELSE 'page' END AS kind, url, CAST(NULL AS VARCHAR) AS error FROM x WHERE feed_id <> 2000 UNION ALL SELECT DISTINCT feed_id, NULL, NULL, 'medium_invalid_sitemap' FROM x WHERE feed_id = 2000""",
+        "category_members": f"WITH {_LINKS} SELECT parent, kind, title, row_number() OVER (PARTITION BY parent ORDER BY kind, position, title) - 1 AS at FROM links",
+        "point_lookup": f"WITH {_RESPONSES} SELECT id, title, content, url, status FROM responses WHERE id = 7 AND status = 'active'",
+        "imported_documents": _IMPORTED.replace("{content}", "v.c AS content, "),
+        "stream_ingest": _IMPORTED.replace("{content}", ""),
+        "staged_items": f"""WITH {_VALID} SELECT job_id || '/' || (position // 100) AS job_id, row_number() OVER (PARTITION BY job_id, position // 100 ORDER BY position, id) - 1 AS position,
+CASE WHEN error IS NULL THEN t END AS title, CASE WHEN error IS NULL THEN u END AS url, error FROM valid""",
+        "pending_items": "SELECT DISTINCT job_id, position, id, ingestion_item_id FROM crawl_items WHERE fetch_status = 'fetched' AND ingestion_item_id IN (SELECT ingestion_item_id FROM crawl_items WHERE ingestion_item_id IS NOT NULL AND document_id IS NULL)",
+        "frontier_lookup": "SELECT DISTINCT id, job_id, canonical_url AS locator FROM crawl_items x WHERE EXISTS (SELECT 1 FROM crawl_items y WHERE y.job_id = x.job_id AND y.canonical_url = x.canonical_url AND y.position = 0)",
+        "json_corpus": f"WITH {DOCS} SELECT id, title, content, url FROM docs",
+        "index_status": f"WITH {DOCS} SELECT count(*) AS documents FROM docs",
+        "index_upsert": f"""WITH {INDEX.replace('docs AS (', 'old AS (', 1).replace('parts AS (', "fresh AS (SELECT DISTINCT id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM document_responses), docs AS (SELECT id, title, content FROM fresh UNION ALL SELECT id, title, content FROM old WHERE id NOT IN (SELECT id FROM fresh)), parts AS (", 1)}
+SELECT scope, term, df FROM dfs""",
+        "index_removed_top10": _page(_matches(BATCH)).replace("WHERE id IS NOT NULL)", "WHERE id IS NOT NULL AND created_at IS NOT NULL)", 1),
         "synthetic_corpus": f"""WITH docs AS (SELECT id, 'Distributed systems guide ' || id AS title, 'distributed systems search indexing caching document number ' || id || ' with BM25 ranking and retrieval' AS content FROM (SELECT unnest(range((SELECT count(DISTINCT id) FROM indexed_documents))) AS id)),
 {TERMS} SELECT scope, count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl FROM terms GROUP BY scope""",
     }

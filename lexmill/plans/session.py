@@ -12,8 +12,9 @@ from ..functions import html as html_functions
 from ..functions.local import local_table
 from ..functions.text import Analyzer, analyze
 from ..operators import crawl, evaluate, ingest, search
-from ..operators.index import Index, clean_corpus, lazy_index, removed, upserted
+from ..operators.index import Index, clean_corpus, lazy_index, removed, upserted, with_delta, write_delta
 from ..schemas import QUERY
+from ..scratch import kept_path
 from ..sources.corpus import read_corpus
 from ..sources.snapshots import SnapshotStore
 
@@ -99,10 +100,25 @@ class RetrievalSession:
 
     def upsert(self, changed: DataFrame) -> RetrievalSession:
         """A session whose corpus has the changed documents in place of the old."""
-        return RetrievalSession.from_documents(self.spark, upserted(self.index.docs, clean_corpus(changed)), self.analyze)
+        return self._changed(changed, None)
 
     def remove(self, ids: DataFrame) -> RetrievalSession:
-        return RetrievalSession.from_documents(self.spark, removed(self.index.docs, ids), self.analyze)
+        """A session whose corpus lacks the documents of ``ids`` (id)."""
+        return self._changed(None, ids)
+
+    def _changed(self, changed: DataFrame | None, gone: DataFrame | None) -> RetrievalSession:
+        """On a written index only what changed is analyzed and written: as a new active version of the store, or, without one, as a scratch table. A lazy
+        index stays lazy."""
+        if self.index.lazy:
+            docs = self.index.docs if changed is None else upserted(self.index.docs, clean_corpus(changed))
+            return RetrievalSession.from_documents(self.spark, docs if gone is None else removed(docs, gone), self.analyze)
+        version = uuid.uuid4().hex
+        if self.store is not None and self.version is not None:
+            self.store.publish_delta(version, self.version, changed, gone, self.analyze)
+            return RetrievalSession(self.spark, self.store.load(version), self.store, version, self.analyze)
+        path = kept_path(self.spark, "delta")
+        write_delta(self.index, path, changed, gone, self.analyze)
+        return RetrievalSession(self.spark, with_delta(self.index, path), None, version, self.analyze)
 
     def publish(self, corpus: DataFrame | None = None, version: str | None = None) -> str:
         """Write a new version of the index from ``corpus`` (or the one at hand), make it active, and use it."""

@@ -13,8 +13,11 @@ from .functions import stemming, urls
 from .functions.hosts import document_host, host_of, matches_metadata, normalize_source, utc_date
 from .functions.text import analyze, analyzer, clean_text, has_phrase, safe_message, snippet, strip, visible_characters
 from .operators import crawl, evaluate, index, ingest, search
+from .scratch import file_system, kept_path
+from .sources import category_pages, feeds
 from .sources import corpus as corpus_source
-from .sources import feeds
+from .sources.snapshots import SnapshotStore
+from .streaming.ingest import StreamIngest
 
 #: The query batch of the retrieval queries (fixed values), in the words of the test tables: qid, query, ranking, scope.
 BATCH = [
@@ -39,6 +42,24 @@ def _index(spark, sf_dir) -> index.Index:
     return index.lazy_index(_raw(spark, sf_dir))
 
 
+_published: dict[tuple, index.Index] = {}
+
+
+def _store(spark, name: str) -> SnapshotStore:
+    return SnapshotStore(spark, kept_path(spark, name))
+
+
+def _written(spark, sf_dir) -> index.Index:
+    """The index of the corpus, published to a store and loaded from it: once for each application and state of the table."""
+    fs, where = file_system(spark, f"{sf_dir}/indexed_documents.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(where).getModificationTime())
+    if key not in _published:
+        store = _store(spark, "index")
+        store.publish("whole", _raw(spark, sf_dir))
+        _published[key] = store.load(store.active_version())
+    return _published[key]
+
+
 def _docs(spark, sf_dir):
     return index.clean_corpus(_raw(spark, sf_dir))
 
@@ -97,53 +118,53 @@ def idf_table(spark, sf_dir):
 
 
 def postings_for_term(spark, sf_dir):
-    return _index(spark, sf_dir).postings.where("scope = 'all' and term = 'archive'").select("id", "tf", "dl").orderBy("id")
+    return _written(spark, sf_dir).postings.where("scope = 'all' and term = 'archive'").select("id", "tf", "dl").orderBy("id")
 
 
 def postings_candidates(spark, sf_dir):
-    ix = _index(spark, sf_dir)
+    ix = _written(spark, sf_dir)
     own = ix.docs.where(matches_metadata(F.col("source_host"), F.col("created_at"), SOURCE, FIRST, LAST)).select("id")
     return ix.postings.where("scope = 'content' and term = 'archive'").join(own, "id", "left_semi").select("id", "tf", "dl")
 
 
 def bm25_top10(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25", "all")))
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25", "all")))
 
 
 def bm25_title(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25", "title")))
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25", "title")))
 
 
 def bm25_content(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25", "content")))
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25", "content")))
 
 
 def bm25_custom_k1_b(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25"), k1=1.2, b=0.3))
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25"), k1=1.2, b=0.3))
 
 
 def bm25_paged(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25")), 7, 5)
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25")), 7, 5)
 
 
 def bm25_total(spark, sf_dir):
-    return search.totals(search.matches(_index(spark, sf_dir), _batch(spark)))
+    return search.totals(search.matches(_written(spark, sf_dir), _batch(spark)))
 
 
 def bm25_full_scores(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "bm25")), None)
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "bm25")), None)
 
 
 def tfidf_top10(spark, sf_dir):
-    return _hits(search.matches(_index(spark, sf_dir), _batch(spark, "tfidf")))
+    return _hits(search.matches(_written(spark, sf_dir), _batch(spark, "tfidf")))
 
 
 def explain_bm25(spark, sf_dir):
-    return _rounded(search.explained(_index(spark, sf_dir), _batch(spark, "bm25")))
+    return _rounded(search.explained(_written(spark, sf_dir), _batch(spark, "bm25")))
 
 
 def match_any(spark, sf_dir):
-    return search.matches(_index(spark, sf_dir), _batch(spark)).select("qid", "id")
+    return search.matches(_written(spark, sf_dir), _batch(spark)).select("qid", "id")
 
 
 def phrase_match(spark, sf_dir):
@@ -155,7 +176,7 @@ def phrase_match(spark, sf_dir):
 
 def phrase_bm25(spark, sf_dir):
     asked = spark.createDataFrame([(*p, True) for p in PHRASES], "qid long, query string, scope string, phrase boolean")
-    return _hits(search.matches(_index(spark, sf_dir), asked))
+    return _hits(search.matches(_written(spark, sf_dir), asked))
 
 
 def filter_source(spark, sf_dir):
@@ -172,7 +193,7 @@ def filter_combined(spark, sf_dir):
 
 def filtered_search(spark, sf_dir):
     q = _batch(spark).withColumns({"source": F.lit(SOURCE), "created_from": F.lit(FIRST), "created_to": F.lit(LAST)})
-    return _hits(search.matches(_index(spark, sf_dir), q))
+    return _hits(search.matches(_written(spark, sf_dir), q))
 
 
 def source_hosts(spark, sf_dir):
@@ -188,7 +209,7 @@ def snippets(spark, sf_dir):
 
 
 def search_page_enriched(spark, sf_dir):
-    page = search.search(_index(spark, sf_dir), _batch(spark))
+    page = search.search(_written(spark, sf_dir), _batch(spark))
     return _rounded(page).withColumn("matched_terms", F.array_join("matched_terms", " "))
 
 
@@ -373,9 +394,14 @@ def wikipedia_urls(spark, sf_dir):
 
 
 def publication_scope(spark, sf_dir):
-    u = F.col("discovered_url")
+    """Items against their run's publication, once on its own host, once as if that were the main host, with its path as section."""
+    u, seed = F.col("discovered_url"), F.col("seed_url")
     rows = _table(spark, sf_dir, "crawl_items").join(_table(spark, sf_dir, "crawl_runs").select("job_id", "seed_url"), "job_id")
-    return rows.select("id", urls.same_origin(u, F.col("seed_url")).alias("same_origin"), F.coalesce(u.isNotNull() & strip(u).startswith("https://"), F.lit(False)).alias("https")).distinct()
+    origin, path = F.regexp_extract(seed, "^(https://[^/]+)", 1), F.regexp_extract(seed, "^https://[^/]+(/[^/]*)", 1)
+    on_main = F.regexp_replace(u, "^https://[^/]+", "https://medium.com")
+    return rows.select(
+        "id", urls.same_origin(u, seed).alias("same_origin"), urls.in_publication(u, origin, path).alias("own"), urls.in_publication(on_main, "https://medium.com", path).alias("section"),
+    ).distinct()
 
 
 def extract_wiki(spark, sf_dir):
@@ -405,6 +431,109 @@ def parse_feed(spark, sf_dir):
     return feeds.parse_feeds(_feeds(spark, sf_dir), "rss")
 
 
+def parse_sitemap(spark, sf_dir):
+    """A sitemap of each run and hundred positions, those of odd batches as lists of sitemaps, one broken."""
+    rows = _table(spark, sf_dir, "crawl_items").select("job_id", "position", "discovered_url").distinct().join(_table(spark, sf_dir, "crawl_runs").select("job_id", "batch_no"), "job_id")
+    safe = F.replace(F.replace("discovered_url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number = F.col("batch_no") * 1000 + F.floor(F.col("position") / 100)
+    per = rows.groupBy(number.alias("feed_id"), "batch_no").agg(F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("<loc> "), safe, F.lit(" </loc>")).alias("x")))).alias("items"))  # a hundred
+    odd = F.col("batch_no") % 2 == 1
+    tag = F.when(odd, "sitemapindex").otherwise("urlset")
+    close = F.when(F.col("feed_id") == 2000, "").otherwise(F.concat(F.lit("</"), tag, F.lit(">")))
+    maps = per.select("feed_id", F.concat(F.lit('<'), tag, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join("items.x", ""), close).alias("xml"))
+    return feeds.parse_sitemaps(maps).select("feed_id", "kind", "url", "error")
+
+
+def category_members(spark, sf_dir):
+    """The members of all categories, from answers of fifty each as the service would give them."""
+    from pyspark.sql import Window
+
+    rows = _links(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("parent").orderBy("kind", "position", "title")) - 1)
+    member = F.struct(F.coalesce("page_id", "at").cast("long").alias("pageid"), F.when(F.col("kind") == "page", 0).otherwise(14).alias("ns"), "title")
+    other = F.struct(F.lit(9).cast("long").alias("pageid"), F.lit(2).alias("ns"), F.lit("User:x").alias("title"))
+    per = rows.groupBy("parent", F.floor(F.col("at") / 50).alias("number")).agg(F.sort_array(F.collect_list(F.struct("at", member.alias("m")))).alias("x"))  # fifty
+    body = F.to_json(F.struct(F.struct(F.concat(F.array(other), F.col("x.m")).alias("categorymembers")).alias("query")))
+    found = category_pages.category_links(per.select("parent", "number", body.alias("body")))
+    return found.select("parent", "kind", "title", (F.floor(F.col("position") / 1_000_000) * 50 + F.col("position") % 1_000_000 - 1).alias("at"))
+
+
+def point_lookup(spark, sf_dir):
+    return corpus_source.point(_table(spark, sf_dir, "document_responses").distinct(), 7).select("id", "title", "content", "url", "status")
+
+
+def imported_documents(spark, sf_dir):
+    docs = _table(spark, sf_dir, "document_responses").select("id", "url")
+    order = ["job_id", "position", "id"]
+    done = ingest.classified(ingest.validated(_payloads(spark, sf_dir)), docs, order).withColumnRenamed("id", "item_id")
+    return ingest.imported_documents(done, docs, ["job_id", "position", "item_id"])
+
+
+def staged_items(spark, sf_dir):
+    """Items sent in envelopes of a hundred of a run, taken apart again."""
+    rows = _payloads(spark, sf_dir).withColumn("part", F.floor(F.col("position") / 100))
+    per = rows.groupBy("job_id", "part").agg(F.sort_array(F.collect_list(F.struct("position", "id", "payload"))).alias("x"))  # a hundred
+    envelopes = per.select(F.concat("job_id", F.lit("/"), F.col("part").cast("string")).alias("job_id"), F.concat(F.lit('{"documents": ['), F.array_join("x.payload", ","), F.lit("]}")).alias("body"))
+    return ingest.validated(ingest.staged(envelopes)).select("job_id", "position", "title", "url", "error")
+
+
+def pending_items(spark, sf_dir):
+    """Fetched items whose ingestion waits: those of whose item no document came."""
+    items = _table(spark, sf_dir, "crawl_items").distinct()
+    waiting = items.where("ingestion_item_id is not null and document_id is null").select("ingestion_item_id", F.lit("pending").alias("status")).distinct()
+    return crawl.pending_ingestion(items, waiting)
+
+
+def frontier_lookup(spark, sf_dir):
+    """The first item of each run, found by its locator."""
+    rows = _table(spark, sf_dir, "crawl_items").distinct().select("id", "job_id", F.col("canonical_url").alias("locator"), "position")
+    asked = rows.where("position = 0").select("job_id", "locator")
+    return crawl.located(rows, asked).select("id", "job_id", "locator")
+
+
+def json_corpus(spark, sf_dir):
+    """The corpus written as JSON files of two hundred documents, and read again."""
+    docs = _docs(spark, sf_dir).select("id", "title", "content", "url")
+    per = docs.groupBy(F.floor(F.col("id") / 200).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "title", "content", "url")).alias("documents")), {"ignoreNullFields": "false"}).alias("value"))  # two hundred
+    path = kept_path(spark, "json")
+    per.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return corpus_source.read_corpus(spark, path).select("id", "title", "content", "url")
+
+
+def index_status(spark, sf_dir):
+    return _written(spark, sf_dir).status
+
+
+def index_upsert(spark, sf_dir):
+    """Term statistics after the crawled documents were put into the written index as a delta version."""
+    return _delta(spark, sf_dir, index.clean_corpus(_table(spark, sf_dir, "document_responses")), None).term_stats
+
+
+def index_removed_top10(spark, sf_dir):
+    """Hits after documents without a date were taken out of the written index by a delta version."""
+    gone = _raw(spark, sf_dir).where("created_at is null").select("id")
+    return _hits(search.matches(_delta(spark, sf_dir, None, gone), _batch(spark)))
+
+
+def _delta(spark, sf_dir, changed, gone) -> index.Index:
+    path = kept_path(spark, "delta")
+    index.write_delta(_written(spark, sf_dir), path, changed, gone)
+    return index.with_delta(_written(spark, sf_dir), path)
+
+
+def stream_ingest(spark, sf_dir):
+    """The same items as ``imported_documents``, from a stream of envelopes of a hundred items of a run, in one micro-batch beside the documents there are."""
+    rows = _payloads(spark, sf_dir).withColumn("part", F.floor(F.col("position") / 100))
+    per = rows.groupBy("job_id", "part").agg(F.sort_array(F.collect_list(F.struct("position", "id", "payload"))).alias("x"))  # a hundred
+    path = kept_path(spark, "stream")
+    job = F.concat("job_id", F.lit("/"), F.lpad(F.col("part").cast("string"), 9, "0"))
+    per.select(job.alias("job_id"), F.concat(F.lit('{"documents": ['), F.array_join("x.payload", ","), F.lit("]}")).alias("body")).write.parquet(f"{path}/in")
+    before = _table(spark, sf_dir, "document_responses").select("id", "title", "content", "url", "status").distinct()
+    before.withColumn("batch", F.lit(-1)).write.partitionBy("batch").parquet(f"{path}/out/documents")
+    stream = StreamIngest(spark, f"{path}/out")
+    stream.start(spark.readStream.schema("job_id string, body string").parquet(f"{path}/in")).awaitTermination()
+    return stream.documents(but=-1).select("id", "title", "url", "status")
+
+
 def embedded_pages(spark, sf_dir):
     return _table(spark, sf_dir, "crawl_items").select("id", feeds.embedded_page(F.col("title"), F.col("canonical_url"), F.col("embedded_content")).alias("html")).distinct()
 
@@ -420,7 +549,8 @@ _NAMES = (
     filter_combined, filtered_search, source_hosts, utc_dates, snippets, search_page_enriched, eval_queries, eval_summary, latency_percentiles, ingest_validated, ingest_classified, ingest_counts,
     ingest_first_wins, active_page, soft_delete_view, patched_view, upsert_view, remove_doc_stats, visible_counts, crawl_bfs, crawl_bfs_pages, crawl_capped, crawl_counts, crawl_item_report,
     next_positions, pending_frontier, has_pending, categories_visited, crawl_checkpoint, job_progress, canonical_urls, wikipedia_urls, publication_scope, extract_wiki, extract_article, parse_feed,
-    embedded_pages, synthetic_corpus,
+    embedded_pages, synthetic_corpus, parse_sitemap, category_members, point_lookup, imported_documents, staged_items, pending_items, frontier_lookup, json_corpus, index_status, index_upsert,
+    index_removed_top10, stream_ingest,
 )
 
 

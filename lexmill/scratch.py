@@ -71,15 +71,21 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def kept_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which is deleted when the application ends."""
+    path = scratch_path(spark, tag)
+    fs, where = file_system(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
     A result that reads it may be used as long as the application runs; the table is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    fs, where = file_system(spark, path)
-    fs.deleteOnExit(where)
+    path = kept_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import Analyzer, analyze
-from ..operators.index import Index, read_index, write_index
+from ..operators.index import Index, read_index, with_delta, write_delta, write_index
 from ..scratch import read_text, replace_text
 
 FORMAT = 1
@@ -39,12 +40,22 @@ class SnapshotStore:
 
     def publish(self, version: str, corpus: DataFrame, analyze: Analyzer = analyze, files: int | None = None) -> None:
         """Write a new version and make it active."""
+        self._add(version, {}, lambda where: write_index(corpus, where, analyze, files))
+
+    def publish_delta(self, version: str, base: str, changed: DataFrame | None = None, gone: DataFrame | None = None, analyze: Analyzer = analyze) -> None:
+        """Write what changed since version ``base`` as a new version, and make it active. ``base`` must stay as long as this version does."""
+        index = self.load(base)
+        if index is None:
+            raise ValueError(f"version {base} doesn't exist")
+        self._add(version, {"base": base}, lambda where: write_delta(index, where, changed, gone, analyze))
+
+    def _add(self, version: str, more: dict, write: Callable[[str], None]) -> None:
         where = f"version={version}"
         if self._fs.exists(self._p(where)):
             raise ValueError(f"version {version} exists")
         try:
-            write_index(corpus, f"{self.path}/{where}", analyze, files)
-            self._write(f"{where}/FORMAT", json.dumps({"format_version": FORMAT, "index_version": version}))
+            write(f"{self.path}/{where}")
+            self._write(f"{where}/FORMAT", json.dumps({"format_version": FORMAT, "index_version": version, **more}))
         except Exception:
             self._fs.delete(self._p(where), True)
             raise
@@ -55,6 +66,13 @@ class SnapshotStore:
         text = self._read(f"version={version}", "FORMAT")
         if text is None:
             return None
-        if json.loads(text).get("format_version") != FORMAT:
+        form = json.loads(text)
+        if form.get("format_version") != FORMAT:
             raise ValueError("unsupported snapshot format")
-        return read_index(self.spark, f"{self.path}/version={version}")
+        where = f"{self.path}/version={version}"
+        if "base" not in form:
+            return read_index(self.spark, where)
+        base = self.load(form["base"])
+        if base is None:
+            raise ValueError(f"version {form['base']} doesn't exist")
+        return with_delta(base, where)

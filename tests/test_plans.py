@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lexmill.plans import report
 from lexmill.plans.pipeline import crawl_encyclopedia, crawl_feeds
 from lexmill.plans.session import RetrievalSession
@@ -80,3 +82,35 @@ def test_reports_and_json_session(spark, tmp_path):
     assert shown.splitlines()[0].startswith("1. Old bridge (") and "Old bridge" in shown.splitlines()[2]
     assert report.hits(session.search(session.batch([{"query": "nothing"}]))) == "no results"
     assert report.table(session.index.scope_stats.orderBy("scope"), ["scope", "n_docs"]).splitlines()[1].split() == ["all", "2"]
+
+
+def test_index_deltas(spark, tmp_path):
+    """Documents changed and removed on a published index: the same tables as an index of the changed corpus, in a chain of delta versions."""
+    from lexmill.operators import index
+    from lexmill.sources.snapshots import SnapshotStore
+
+    shape = "id long, title string, content string, url string, source_host string, created_at timestamp"
+    docs = spark.createDataFrame([(i, f"Old title {i % 3}", f"bridge ferry {'lamp ' * (i % 4)}", f"https://a.example/{i}", None, None) for i in range(20)], shape)
+    store = SnapshotStore(spark, str(tmp_path))
+    session = RetrievalSession(spark, store=store)
+    session.publish(docs, "v1")
+    changed = spark.createDataFrame([(3, "New harbour", "harbour lamp", None, None, None), (50, None, None, None, None, None), (51, "Ferry", "ferry ferry", None, None, None), (51, "Ferry", "ferry ferry", None, None, None), (None, "x", "y", None, None, None)], shape)
+    one = session.upsert(changed)
+    two = one.remove(spark.createDataFrame([(4, "x"), (51, "x"), (999, "x"), (None, "x")], "id long, scope string"))
+    plain = [index.upserted(docs, changed.where("id is not null")).dropDuplicates(["id"])]
+    plain.append(plain[0].where("id not in (4, 51)"))
+
+    def tables(ix):
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        return rows(ix.term_stats.select("scope", "term", "df")), rows(ix.postings.select("scope", "term", "id", "tf", "dl")), [(a, n, round(x, 9)) for a, n, x in rows(ix.scope_stats.select("scope", "n_docs", "avg_dl"))], rows(ix.docs.select("id", "title"))
+
+    for got, want in zip((one, two), plain, strict=True):
+        assert tables(got.index) == tables(index.lazy_index(want))
+    assert store.active_version() == two.version and tables(store.load(two.version)) == tables(two.index)
+    assert [r.document_id for r in two.search(two.batch([{"query": "harbour"}])).collect()] == [3]
+    with_all_gone = two.remove(two.index.docs.select("id"))
+    assert with_all_gone.index.scope_stats.count() == 0 and with_all_gone.search(two.batch([{"query": "harbour"}])).count() == 0
+    scratch = RetrievalSession(spark, store.load("v1"), None, "v1").upsert(changed)
+    assert tables(scratch.index) == tables(one.index)
+    with pytest.raises(ValueError):
+        store.publish_delta("v9", "none")
