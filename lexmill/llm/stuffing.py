@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_list, written
+from .common import Scratch, word_list, written
 
 #: Function words of the trained languages, beside those of the table (fixed values).
 FUNCTION_WORDS = (
@@ -95,7 +95,7 @@ class Tokens(dict):
 def segments(text: str, known: Tokens) -> list[tuple[int, list[int], bool, bool]]:
     """(characters, classes, evidence, prose) of the sentences, or short lines, of a text.
 
-    evidence: at least half of the content words of the segment stand three times or more in the document; or it is a
+    evidence (for training only): at least half of the content words of the segment stand three times or more in the document; or it is a
     run of eight or more short items without function words; or its line is mostly links or hash tags with no sentence about them.
     prose: a sentence to train on, by its stop, length and function words, without evidence, repeated words or links.
     """
@@ -232,25 +232,31 @@ def _length(lengths: np.ndarray) -> np.ndarray:
     return np.minimum(6, np.log2(lengths + 1).astype(int))
 
 
-def class_model(table: DataFrame, size: int) -> ClassModel:
-    """The model of the prose sentences of all documents: trigrams are counted in tasks, then by number.
+#: Kinds of segments that models are trained on: prose sentences, those that show stuffing, all others.
+PROSE, STUFFED, OTHER = range(3)
 
-    There are fewer than 500 classes, so the counts that reach the driver are bounded by the classes, not the documents.
+
+def class_models(table: DataFrame, size: int) -> list[ClassModel]:
+    """The models of the segments of all documents of each kind: trigrams are counted in tasks, then by kind and number.
+
+    There are fewer than 2,500 classes, and of their trigrams those that occur reach the driver: bounded by the classes, not the documents.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            prose, lengths, codes = _flat(batch, "prose", "lengths", "codes")
-            if not prose.any():
+            prose, evidence, lengths, codes = _flat(batch, "prose", "evidence", "lengths", "codes")
+            if not len(lengths):
                 continue
             number, seg = _trigrams(lengths, codes, size)
-            found, n = np.unique(number[prose[seg]], return_counts=True)
+            kind = np.where(prose, PROSE, np.where(evidence, STUFFED, OTHER))
+            found, n = np.unique(number + kind[seg] * size**3, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["number", "n"])
 
-    rows = table.select("prose", "lengths", "codes").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
-    return ClassModel(rows.column(0).to_numpy(), rows.column(1).to_numpy(), size)
+    rows = table.select("prose", "evidence", "lengths", "codes").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    number, n = (rows.column(i).to_numpy() for i in (0, 1))
+    return [ClassModel(number[number // size**3 == k] % size**3, n[number // size**3 == k], size) for k in (PROSE, STUFFED, OTHER)]
 
 
 def thresholds(table: DataFrame, shared) -> list[tuple[float, float]]:
@@ -263,7 +269,7 @@ def thresholds(table: DataFrame, shared) -> list[tuple[float, float]]:
         for batch in batches:
             prose, lengths, codes = _flat(batch, "prose", "lengths", "codes")
             if prose.any():
-                bits = shared.value.bits(lengths, codes)[prose]
+                bits = shared.value[PROSE].bits(lengths, codes)[prose]
                 counts += np.bincount(_length(lengths[prose]) * BINS + np.minimum(BINS - 1, (bits / BIN).astype(int)), minlength=7 * BINS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
@@ -281,18 +287,22 @@ def thresholds(table: DataFrame, shared) -> list[tuple[float, float]]:
 
 
 def page_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(id, chars, bits, odd_chars, stuffed_chars) of each document (id, text) with text.
+    """(id, chars, bits, odd_chars, stuffed_chars, evidence_chars) of each document (id, text) with text.
 
-    bits: mean bits a word class over the document. odd_chars: characters in segments whose perplexity is abnormally high or low
-    for their length. stuffed_chars: those of them that also show repetition or bare links. Null and blank texts have no row.
+    bits: mean bits a word class over the document under the model of prose. odd_chars: characters in segments whose perplexity is abnormally
+    high or low for their length. stuffed_chars: those of them that are less surprising under the model of stuffed segments than under
+    the models of prose and of everything else (tables, code, lists, headings), which are as improbable as prose; repeated words have classes
+    of their own, so repetition is part of the sequence. evidence_chars: characters in segments that show stuffing by themselves; they
+    name what the second model is trained on, and decide nothing. Null and blank texts have no row.
     ``words`` (word): common words, at most 2,000; more raise an error. Repeated rows count once. Texts are read once, into a
-    written table of class numbers; training, thresholds and scores are array passes over it.
+    table of class numbers; training, thresholds and scores are array passes over it.
     """
     sc = docs.sparkSession.sparkContext
     function = sorted({*word_list(words, MOST_WORDS), *FUNCTION_WORDS.split()})
     size = len(CLASSES) + len(function)
-    table = written(encoded(docs, function), "classes")
-    shared = sc.broadcast(class_model(table, size))  # at most size squared numbers, and the trigrams there are
+    hold = Scratch()
+    table = hold(encoded(docs, function), "classes")
+    shared = sc.broadcast(class_models(table, size))  # three times at most size squared numbers, and the trigrams there are
     cuts = np.array(thresholds(table, shared))
 
     def run(batches):
@@ -304,18 +314,21 @@ def page_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
             sizes, evidence, lengths, codes = _flat(batch, "sizes", "evidence", "lengths", "codes")
             n = np.diff(np.array(batch.column(1).offsets))
             doc = np.repeat(np.arange(batch.num_rows), n)
-            bits = shared.value.bits(lengths, codes)
+            bits, stuffed, other = (m.bits(lengths, codes) for m in shared.value)
             low, high = cuts[_length(lengths)].T
             odd = (bits < low) | (bits > high)
 
             def total(x, doc=doc, rows=batch.num_rows):
                 return np.bincount(doc, x, rows)
 
-            sums = [total(sizes), total(sizes * odd), total(sizes * (odd & evidence))]
+            sums = [total(sizes), total(sizes * odd), total(sizes * (odd & (stuffed < np.minimum(bits, other)))), total(sizes * evidence)]
             mean = total(bits * lengths) / total(lengths)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0].astype(np.int64)), pa.array(mean), *(pa.array(x.astype(np.int64)) for x in sums[1:])], ["id", "chars", "bits", "odd_chars", "stuffed_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0].astype(np.int64)), pa.array(mean), *(pa.array(x.astype(np.int64)) for x in sums[1:])], ["id", "chars", "bits", "odd_chars", "stuffed_chars", "evidence_chars"])
 
-    return table.select("id", "sizes", "evidence", "lengths", "codes").mapInArrow(run, "id long, chars long, bits double, odd_chars long, stuffed_chars long").dropDuplicates(["id"])
+    scores = table.select("id", "sizes", "evidence", "lengths", "codes").mapInArrow(run, "id long, chars long, bits double, odd_chars long, stuffed_chars long, evidence_chars long")
+    found = written(scores.dropDuplicates(["id"]), "scores")
+    hold.discard()
+    return found
 
 
 def stuffed_pages(docs: DataFrame, words: DataFrame) -> DataFrame:

@@ -482,3 +482,22 @@ def test_p8_pages(spark):
     words = spark.createDataFrame([(w,) for w in COMMON], "word string")
     assert {r.id for r in stuffing.stuffed_pages(df, words).collect()} == {1000 + i for i in range(len(spam))}
     assert stuffing.stuffed_pages(df.where("false"), words).count() == 0
+    # pages the models were not trained on, judged by the models alone, without the evidence
+    import numpy as np
+
+    function = sorted({*COMMON, *stuffing.FUNCTION_WORDS.split()})
+    known = stuffing.Tokens(function)
+    models = stuffing.class_models(stuffing.encoded(df, function), known.size)
+    new_spam = ["quick ferries old mills " * 30, ", ".join(rng.choice(["red kite", "tin cup", "wet oar"]) + " " + rng.choice(names) for _ in range(30)), "\n".join(f"- https://{rng.choice(VOCAB)}.example/{i}x" for i in range(15)), "Want a tin cup? Our tin cup is the tin cup for every tin cup. Order the tin cup today, the tin cup tomorrow! " * 3]
+    new_good = [" ".join(sentence() for _ in range(5)) for _ in range(20)] + ["\n".join(f"{rng.choice(VOCAB)}\t{i * 17}\t{i / 3:.2f}" for i in range(20)), "\n".join(f"* Fix: {sentence()}" for _ in range(6))]
+
+    def share(text):
+        seg = stuffing.segments(text, known)
+        lengths, codes = np.array([len(x[1]) for x in seg]), np.array([c for x in seg for c in x[1]])
+        prose, stuffed, other = (m.bits(lengths, codes) for m in models)
+        size = np.array([x[0] for x in seg])
+        return size[stuffed < np.minimum(prose, other)].sum() / size.sum()
+
+    assert all(share(t) > 0.5 for t in new_spam) and not any(share(t) > 0.5 for t in new_good)
+    with pytest.raises(ValueError, match="2000 words"):
+        stuffing.page_scores(df, spark.range(2001).select(F.concat(F.lit("w"), "id").alias("word")))
