@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, delete, read_text, replace_text, scratch_path, shared_dir, written
 
-__all__ = ["Scratch", "WordIds", "delete", "mix", "read_text", "replace_text", "scratch_path", "shared_dir", "small", "table", "triple_hashes", "triple_sets", "verified_pairs", "with_similarity", "word_list", "written"]
+__all__ = ["Scratch", "WordIds", "delete", "is_small", "mix", "read_text", "replace_text", "scratch_path", "shared_dir", "small", "table", "triple_hashes", "triple_sets", "verified_pairs", "with_similarity", "word_list", "written"]
 
 #: Rows up to which a side of 16-byte keys is broadcast; beyond, Catalyst joins by shuffle.
 BROADCAST_ROWS = 250_000
@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows. Counts it: give a written table."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged. Counts ``df``: give a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it is small, else unchanged. Counts ``df``: give a written table."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 WORD_OR_STOP = re.compile(r"[^\W_]+|[.!?…。]+(?=\s|$)")

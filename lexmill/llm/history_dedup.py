@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_OR_STOP, Scratch, WordIds, delete, mix, read_text, replace_text, scratch_path, small, triple_hashes, triple_sets, with_similarity, written
+from .common import WORD_OR_STOP, Scratch, WordIds, delete, is_small, mix, read_text, replace_text, scratch_path, small, triple_hashes, triple_sets, with_similarity, written
 
 #: Parameters that only track; also all that begin with utm_ (fixed values).
 TRACKING = {"source", "ref", "sk", "from"}
@@ -186,7 +186,7 @@ class AcceptedHistory:
         for table, columns in self.TABLES.items():
             key = columns.split()[0]
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self._where(table)}'"
+                f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self._where(table)}'"
             )
 
     def _where(self, table: str) -> str:
@@ -209,7 +209,7 @@ class AcceptedHistory:
         key = self.TABLES[table].split()[0]
         (
             rows.withColumn("batch", F.lit(batch)).repartition(self.buckets, key).write.mode("append").format("parquet").option("path", self._where(table))
-            .bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{table}")
+            .bucketBy(self.buckets, key).saveAsTable(f"{self.name}_{table}")
         )
 
     def _table(self, table: str) -> DataFrame:
@@ -264,8 +264,10 @@ class AcceptedHistory:
         items = hold(items.select("item_id", "ord", "page", "head", "old_page", "old_head"), "headed")
 
         fresh = feats.select("head", "tag").join(items.where("head is not null and old_head is null").select("head").distinct(), "head", "left_semi")
-        fresh = small(hold(fresh.groupBy("head").agg(F.min("tag").alias("tag")), "fresh"))  # one row of features for each text, chosen by narrow columns
-        rows = hold(feats.join(fresh.select("tag"), "tag", "left_semi").drop("id", "tag"), "rows")
+        fresh = hold(fresh.groupBy("head").agg(F.min("tag").alias("tag")), "fresh")  # one row of features for each text, chosen by narrow columns
+        rows = feats.join(small(fresh.select("tag")), "tag", "left_semi").drop("id", "tag")
+        if not is_small(fresh):
+            rows = hold(rows, "rows")  # else each use reads the columns it needs from the features, with no shuffle
         both, old_near = self._links(rows, items, threshold, hold)
         items = hold(items.join(old_near, "head", "left").select("item_id", "ord", "page", "head", F.least("old_page", "old_head", "old_near").alias("old")), "asked")
 
@@ -291,7 +293,8 @@ class AcceptedHistory:
         good = state.where("accepted").select("item_id", "ord", "page", "head").union(alone)
         self._append("pages", good.where("page is not null").select("page", "ord", "item_id"), batch)
         firsts = good.where("head is not null").groupBy("head").agg(F.min(first).alias("x")).select("head", "x.ord", "x.item_id")
-        kept = hold(rows.join(small(hold(firsts, "firsts")), "head"), "kept")
+        firsts = hold(firsts, "firsts")
+        kept = rows.join(small(firsts), "head")
         self._append("keys", kept.select(F.explode(F.array_distinct("keys")).alias("key"), "head"), batch)
         self._append("heads", kept.select("head", "ord", "item_id", "bits", "triples"), batch)
         self._save(uncommitted=[b for b in self.state["uncommitted"] if b != batch])
