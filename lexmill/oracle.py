@@ -188,8 +188,7 @@ SELECT id, title, length(content) AS chars FROM n UNION ALL SELECT id, title, le
         "visible_counts": f"""WITH {DOCS} SELECT id, length(regexp_replace(content, '{_W}', '', 'g')) AS visible, {_strip("content")} <> '' AND NOT regexp_matches(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') AS clean,
 substring(trim(regexp_replace(content, '{_W}+', ' ', 'g'), ' '), 1, 80) AS message FROM docs""",
         "crawl_bfs": "SELECT 'root' AS title, CAST(0 AS BIGINT) AS depth UNION ALL SELECT r_name, 1 FROM region UNION ALL SELECT n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey",
-        "crawl_bfs_pages": """SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey, s_suppkey) - 1 AS position, s_suppkey AS page_id, s_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-QUALIFY position < 40""",
+        "crawl_bfs_pages": """SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey, s_suppkey) - 1 AS position, s_suppkey AS page_id, s_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
         "crawl_capped": """WITH once AS (SELECT job_id, canonical_url, position, id FROM (SELECT DISTINCT job_id, canonical_url, position, id FROM crawl_items WHERE canonical_url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY job_id, canonical_url ORDER BY position, id) = 1)
 SELECT job_id, position, id, canonical_url, row_number() OVER (PARTITION BY job_id ORDER BY position, id) AS n FROM once JOIN crawl_runs USING (job_id) QUALIFY n <= max_articles""",
         "crawl_counts": f"""WITH {_OUTCOMES}, c AS (SELECT job_id, count(id) AS discovered, count(*) FILTER (fetch_status = 'fetched') AS fetched, count(*) FILTER (o.status = 'imported') AS imported, count(*) FILTER (o.status = 'skipped') AS skipped,

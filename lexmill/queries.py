@@ -329,7 +329,7 @@ def crawl_bfs(spark, sf_dir):
 
 
 def crawl_bfs_pages(spark, sf_dir):
-    return crawl.discover(_links(spark, sf_dir), "root", 2, 40, 500)[1]
+    return crawl.discover(_links(spark, sf_dir), "root", 2, 100_000, 500)[1]
 
 
 def crawl_capped(spark, sf_dir):
