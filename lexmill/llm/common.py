@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, delete, read_text, replace_text, scratch_path, shared_dir, written
 
-__all__ = ["Scratch", "WordIds", "delete", "is_small", "mix", "read_text", "replace_text", "scratch_path", "shared_dir", "small", "table", "triple_hashes", "triple_sets", "verified_pairs", "with_similarity", "word_list", "written"]
+__all__ = ["Scratch", "WordIds", "delete", "is_small", "mix", "read_text", "replace_text", "scratch_path", "sets_of", "shared_dir", "small", "table", "triple_hashes", "triple_sets", "verified_pairs", "with_similarity", "word_list", "written"]
 
+#: Pairs whose sets are compared in one pass at least; see ``verified_pairs``.
+PASS_PAIRS = 1 << 18
 #: Rows up to which a side of 16-byte keys is broadcast; beyond, Catalyst joins by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -107,11 +110,20 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, hold: S
     """Of ``pairs`` (a, b: different ids) those whose texts are similar, with the exact similarity.
 
     ``texts`` has ``id`` and ``text``. Similarity is the Jaccard coefficient of the sets of three successive
-    words. Only texts that occur in a pair are read into sets, as 32-bit hashes.
+    words. Only texts that occur in a pair are read into sets, as 32-bit hashes. Pairs are joined with them in passes of at most half as many pairs as
+    there are sets, so that the sets which pairs carry take less disk than the table of sets, however many pairs there are.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(small(hold(ids, "ids")), "id", "left_semi").mapInArrow(_triple_sets, "id long, triples array<int>").dropDuplicates(["id"])
-    return with_similarity(pairs, hold(sets, "sets"), threshold)
+    sets = hold(sets_of(hold(ids, "ids"), texts), "sets")
+    many = -(-pairs.count() // max(PASS_PAIRS, sets.count() // 2))
+    if many <= 1:
+        return with_similarity(pairs, sets, threshold)
+    return reduce(DataFrame.union, [hold(with_similarity(pairs.where(F.pmod(F.xxhash64("a"), F.lit(many)) == k), sets, threshold), "verified") for k in range(many)])
+
+
+def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, triples) of those ``texts`` (id, text) whose id is in the written table ``ids`` (id)."""
+    return texts.join(small(ids), "id", "left_semi").mapInArrow(_triple_sets, "id long, triples array<int>").dropDuplicates(["id"])
 
 
 def _keyed(column) -> tuple[np.ndarray, np.ndarray]:

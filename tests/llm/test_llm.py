@@ -117,6 +117,33 @@ def test_p4_recall_under_a_template(spark, monkeypatch):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 60
 
 
+def test_p4_pairs_are_judged_where_they_meet():
+    """Of records that share a key only those that agree in enough symbols come out, however the rows fall into batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.RandomState(5)
+    sig = rng.randint(0, 2**32, (60, near_dup.SYMBOLS), np.uint64).astype(np.uint32)
+    sig[30:, : near_dup.LEAST_EQUAL] = sig[:30, : near_dup.LEAST_EQUAL]
+    key, asks = rng.randint(0, 3, (60, 2)).astype(np.uint64), rng.rand(60, 2) < 0.5
+    agree = (sig[:, None].astype(np.uint8) == sig[None].astype(np.uint8)).sum(2) >= near_dup.LEAST_EQUAL
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if agree[i, j] and any(key[i, x] == key[j, y] and (asks[i, x] or asks[j, y]) for x in (0, 1) for y in (0, 1))}
+    batch = near_dup._key_rows(np.arange(60), near_dup._bytes(sig), np.repeat(np.arange(60), 2), key.ravel(), np.ones(120, bool), asks.ravel(), np.full(120, 9))
+    table = pa.Table.from_batches([batch]).sort_by([("key", "ascending"), ("role", "ascending")]).combine_chunks()
+    for size in (1, 7, 1000):
+        got = [p for b in near_dup._meet(iter(table.to_batches(size))) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert set(got) == want and len(want) > 3 and len(got) < 3 * len(want)
+
+
+def test_p4_leaves_no_shuffle_files(spark, texts):
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    df, before = spark.createDataFrame(list(texts.items()), "id long, text string"), files()
+    near_dup.similar_classes(df)
+    assert files() <= before
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
