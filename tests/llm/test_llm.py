@@ -117,6 +117,50 @@ def test_p4_recall_under_a_template(spark, monkeypatch):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 60
 
 
+@pytest.fixture
+def sent():
+    """Sends the package's code and settings to the workers, which otherwise import their own."""
+    from pyspark import cloudpickle
+
+    import lexmill
+
+    cloudpickle.register_pickle_by_value(lexmill)
+    yield
+    cloudpickle.unregister_pickle_by_value(lexmill)
+
+
+def test_p4_templated_pairs_are_all_found(spark, monkeypatch, sent):
+    """A template of two fifths of each text: pairs just above 0.5 agree in few symbols of their own, and however many of the others are given up, all are found."""
+    monkeypatch.setattr(near_dup, "BUDGET", 0)
+    monkeypatch.setattr(near_dup, "LEAST_GAINS", 6)
+    monkeypatch.setattr(near_dup, "SPREAD", 50)
+    monkeypatch.setattr(near_dup, "PASS_KEYS", 4000, raising=False)
+    rng = random.Random(43)
+    vocab = [a + b for a in VOCAB for b in VOCAB]
+    template, rows = " ".join(rng.choices(vocab, k=54)), {}
+    for i in range(200):
+        own = rng.choices(vocab, k=66)
+        rows[i] = template + " " + " ".join(own)
+        rows[1000 + i] = template + " " + " ".join(own[: 31 + i % 3] + rng.choices(vocab, k=35 - i % 3))
+    want = pairs_of(rows)
+    got = {(r.id_a, r.id_b) for r in near_dup.similar_pairs(spark.createDataFrame(list(rows.items()), "id long, text string")).collect()}
+    assert got == want and len(want) >= 100
+
+
+def test_p4_rare_pairs_equal_brute_force(spark, texts, monkeypatch, sent):
+    """The join on the rarest triples alone finds all pairs, with spread keys and in several passes."""
+    from lexmill.llm.common import Scratch, verified_pairs
+
+    monkeypatch.setattr(near_dup, "SPREAD", 5)
+    monkeypatch.setattr(near_dup, "PASS_KEYS", 2000)
+    monkeypatch.setattr("lexmill.llm.common.PASS_PAIRS", 20)
+    df = spark.createDataFrame([(k, t) for k, t in texts.items() if triples(t)], "id long, text string")
+    hold = Scratch()
+    pairs = near_dup.rare_pairs(hold(df.select("id"), "ids"), df, 0.5, hold).distinct()
+    assert {(r.a, r.b) for r in verified_pairs(hold(pairs, "pairs"), df, 0.5, hold).collect()} == pairs_of(texts)
+    hold.discard()
+
+
 def test_p4_pairs_are_judged_where_they_meet():
     """Of records that share a key only those that agree in enough symbols come out, however the rows fall into batches."""
     import numpy as np
